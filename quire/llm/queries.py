@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from quire.llm.common import Scratch, table
 from quire.llm.embeddings import embedding_groups
 from quire.llm.simhash import simhash_groups
+from quire.llm.suffixes import repeated_bytes
+from quire.llm.windows import repeated_windows
+
+
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_bytes(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +28,39 @@ def op7_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
 
 
+def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_windows(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1_suffix_array,
     "op4_simhash": op4_simhash,
     "op7_embedding_groups": op7_embedding_groups,
+    "op9_repeated_windows": op9_repeated_windows,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_array": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS j FROM d),
+s AS (SELECT doc_id, j, substr(h, 2 * j + 1, 200) AS k FROM b WHERE 2 * j + 200 <= length(h)),
+f AS (SELECT k, min((doc_id, j)) AS f FROM s GROUP BY k HAVING count(*) > 1),
+bad AS (SELECT doc_id, j, true AS bad FROM s JOIN f USING (k) WHERE f < (doc_id, j)),
+c AS (
+  SELECT doc_id, j, substr(h, 2 * j + 1, 2) AS x,
+    count(bad) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM b LEFT JOIN bad USING (doc_id, j)
+), e AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY j) AS first FROM c),
+g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans,
+    sha256(unhex(coalesce(string_agg(x, '' ORDER BY j) FILTER (NOT gone), ''))) AS kept_sha256
+  FROM e GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+""",
     "op7_embedding_groups": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -43,5 +77,21 @@ WITH RECURSIVE v AS (
 ), n AS (SELECT a, count(*) AS n FROM link GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, c.c = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+""",
+    "op9_repeated_windows": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS j FROM d),
+s AS (SELECT doc_id, j, ws[j + 1 : j + 13] AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 12)) AS j FROM d)),
+f AS (SELECT k, min(doc_id) AS f FROM s GROUP BY k),
+bad AS (SELECT doc_id, j, true AS bad FROM s JOIN f USING (k) WHERE f < doc_id),
+c AS (
+  SELECT doc_id, j, w, count(bad) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM w LEFT JOIN bad USING (doc_id, j)
+), g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(w, ' ' ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256
+  FROM c GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
 """,
 }
