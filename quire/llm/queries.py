@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,16 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, table
 from quire.llm.embeddings import embedding_groups
+from quire.llm.languages import fit_languages, held_out, identify_languages
+from quire.llm.latent import benchmark_hits
 from quire.llm.simhash import simhash_groups
 from quire.llm.suffixes import repeated_bytes
+from quire.llm.toxicity import fit_toxicity, score_toxicity
 from quire.llm.windows import repeated_windows
+from quire.llm.wordpieces import count_tokens, load_ranks
+
+#: A public tokenizer's pieces; set QUIRE_VOCABULARY to use another rank file.
+VOCABULARY = os.environ.get("QUIRE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +27,38 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where("doc_id is not null").where(~held_out("doc_id", 4, 2)))
+    found = identify_languages(docs, model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), load_ranks(VOCABULARY))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op6"))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"), F.array_max("hits.similarity").alias("similarity"))
+
+
 def op7_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = ~held_out("doc_id", 5, 0)
+    scored = score_toxicity(docs, fit_toxicity(docs.where(learn), labels.where(learn), Scratch(spark, "op8")))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeated_windows(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -35,8 +66,12 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
+    "op2_languages": op2_languages,
     "op4_simhash": op4_simhash,
+    "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_embedding_groups": op7_embedding_groups,
+    "op8_toxicity": op8_toxicity,
     "op9_repeated_windows": op9_repeated_windows,
 }
 
