@@ -262,11 +262,12 @@ class Sketch:
         """Which of the keys may occur twice or more, by the replies of all shards."""
         often, replies = np.ones(len(key), bool), iter(chunk.mail.get("often", []))
         for row in range(self.rows):
-            bits = []
             cell = self.cells_of(key, row)
-            sizes = np.diff(np.searchsorted(distinct := np.unique(cell), np.arange(self.shards + 1) * self.cells))
-            for n in sizes[sizes > 0]:
-                bits.append(np.unpackbits(np.frombuffer(next(replies), np.uint8), count=n).astype(bool))
+            order = np.argsort(cell)
+            cell = cell[order]
+            new = np.append(True, cell[1:] != cell[:-1])[: len(cell)]
+            sizes = np.diff(np.searchsorted(cell[new], np.arange(self.shards + 1) * self.cells))
+            bits = [np.unpackbits(np.frombuffer(next(replies), np.uint8), count=n).astype(bool) for n in sizes[sizes > 0]]
             if bits:
-                often &= np.concatenate(bits)[np.searchsorted(distinct, cell)]
+                often[order] &= np.concatenate(bits)[np.cumsum(new) - 1]
         return often

@@ -172,7 +172,8 @@ class Anchors:
         valid[chunk.off[long]] += 1
         valid[chunk.off[long] + chunk.sizes[long] - length + 1] -= 1
         windows = np.flatnonzero(np.cumsum(valid[: len(best)]))
-        self.at = np.unique((best[windows] & _LOW).astype(np.int64))
+        chosen = (best[windows] & _LOW).astype(np.int64)  # ascending
+        self.at = chosen[np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)]]
         self.key = gram[self.at]
         self.doc = np.searchsorted(chunk.off, self.at, "right") - 1
         self.n_left = np.minimum(self.before, self.at - chunk.off[self.doc])

@@ -26,8 +26,11 @@ class Windows:
         start = np.flatnonzero(self.doc[:n] == self.doc[width - 1 :][:n]) if n else np.zeros(0, np.int64)
         first, second = (mix64(Sums(h, base).of(start, start + width)) for base in (MIX, OTHER))
         second >>= np.uint64(32)
-        order = np.lexsort((second, first))
+        order = np.argsort(first)
         a, b = first[order], second[order]
+        if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
+            order = np.lexsort((second, first))
+            a, b = first[order], second[order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
         at = np.flatnonzero(new)
         self.start, self.group = start, np.empty(len(start), np.int64)
