@@ -12,11 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def features(text: str | None) -> set[str]:
-    """Distinct lower-cased words, bare of punctuation at their ends, and their beginnings of 4 and 5 characters."""
-    words = {w.strip(".,;:!?\"'()[]|") for w in set((text or "").lower().split())}
-    words.discard("")
-    return {"w" + w for w in words} | {"4" + w[:4] for w in words if len(w) > 4} | {"5" + w[:5] for w in words if len(w) > 5}
+#: Lengths of word beginnings; where two distinct words of a text share one, that is a feature too.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+
+
+def words(text: str | None) -> set[str]:
+    """Distinct lower-cased words, bare of punctuation at their ends."""
+    return {w.strip(".,;:!?\"'()[]|") for w in set((text or "").lower().split())} - {""}
+
+
+def features(text: str | None) -> list[str]:
+    """Distinct words (=), their beginnings (-), and beginnings of several distinct words (+)."""
+    seen = words(text)
+    begun = Counter(w[:k] for w in seen for k in BEGINNINGS if len(w) > k)
+    return ["=" + w for w in seen] + ["-" + b for b in begun] + ["+" + b for b, n in begun.items() if n > 1]
 
 
 def smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
@@ -75,18 +84,21 @@ class Present:
     """Sums the weights of the chosen features that a text has."""
 
     def __init__(self, chosen: list[str], weights: np.ndarray):
-        self.word = {f[1:]: i for i, f in enumerate(chosen) if f[0] == "w"}
-        self.four = {f[1:]: i for i, f in enumerate(chosen) if f[0] == "4"}
-        self.five = {f[1:]: i for i, f in enumerate(chosen) if f[0] == "5"}
         self.weights = weights
+        kinds: dict[str, dict[str, int]] = {"=": {}, "-": {}, "+": {}}
+        for i, f in enumerate(chosen):
+            kinds[f[0]][f[1:]] = i
+        self.word, self.begun, self.twice = kinds["="], kinds["-"], kinds["+"]
+        self.known = {k: {b for b in (*self.begun, *self.twice) if len(b) == k} for k in BEGINNINGS}
 
     def total(self, text: str | None) -> np.ndarray:
-        hits = set()
-        for w in {w.strip(".,;:!?\"'()[]|") for w in set((text or "").lower().split())}:
-            if w in self.word:
-                hits.add(self.word[w])
-            if len(w) > 4 and w[:4] in self.four:
-                hits.add(self.four[w[:4]])
-            if len(w) > 5 and w[:5] in self.five:
-                hits.add(self.five[w[:5]])
+        seen = words(text)
+        hits = {self.word[w] for w in seen & self.word.keys()}
+        for k, known in self.known.items():
+            if known:
+                for b, n in Counter(b for w in seen if len(w) > k and (b := w[:k]) in known).items():
+                    if b in self.begun:
+                        hits.add(self.begun[b])
+                    if n > 1 and b in self.twice:
+                        hits.add(self.twice[b])
         return self.weights[sorted(hits)].sum(axis=0)

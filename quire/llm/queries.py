@@ -12,6 +12,7 @@ from quire.llm.common import Scratch, table
 from quire.llm.embeddings import embedding_groups
 from quire.llm.languages import fit_languages, held_out, identify_languages
 from quire.llm.latent import benchmark_hits
+from quire.llm.pseudo import score_documents, train
 from quire.llm.simhash import simhash_groups
 from quire.llm.suffixes import repeated_bytes
 from quire.llm.toxicity import fit_toxicity, score_toxicity
@@ -64,6 +65,11 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, Scratch(spark, "op10")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_languages": op2_languages,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_groups": op7_embedding_groups,
     "op8_toxicity": op8_toxicity,
     "op9_repeated_windows": op9_repeated_windows,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
 ORACLES: dict[str, str] = {

@@ -29,7 +29,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     texts count as negative, less the share of toxic ones among them. Where
     the corrected negative part falls below zero, the step goes against it.
     """
-    w, b = np.zeros(positive.shape[1]), float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(positive.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
         zp, zu = positive @ w + b, unlabelled @ w + b
@@ -40,8 +40,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
         g = (plus + negative if part >= 0 else -negative) + decay * np.append(w, 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        w, b = w - move[:-1].astype(np.float32), b - float(move[-1])
+    return w, b
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, keep: int = FEATURES) -> tuple[Present, float]:
@@ -64,7 +64,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, positive_
     is_p = np.array(cls) == "p"
     if is_p.all() or not is_p.any():
         return Present([], np.zeros((0,))), -20.0
-    w, b = fit_nnpu(x[is_p].astype(np.float64), x[~is_p].astype(np.float64), min(max(ones / n, 1e-3), 0.999))
+    w, b = fit_nnpu(x[is_p], x[~is_p], min(max(ones / n, 1e-3), 0.999))
     return Present(chosen, w), b
 
 
