@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,22 @@ def features(text: str | None) -> list[str]:
     return ["=" + w for w in seen] + ["-" + b for b in begun] + ["+" + b for b, n in begun.items() if n > 1]
 
 
-def smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
-    """A bounded sample that depends on the ids alone: the n rows whose hashed id is smallest."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def smallest_hashes(ids: DataFrame, n: int) -> DataFrame:
+    """A bounded sample of rows that depends on their doc_id alone: the n with the smallest hashes."""
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def telling_features(sample: DataFrame, classes: list[str], keep: int) -> list[str]:
-    """Features of a bounded sample(text, cls) that best tell any class from the rest, by a two-proportion test."""
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(text, cls) for chosen(doc_id, cls), a bounded sample of ids: that is broadcast, so that no text is shuffled."""
+    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "cls")), "doc_id").select("text", "cls")
+
+
+def telling_features(sample: DataFrame, classes: list[str], keep: int, least: float = 4.0) -> list[str]:
+    """Features of a bounded sample(text, cls) that are commoner in one of the classes than in the rest of the sample.
+
+    By a two-proportion test with continuity correction: the largest values of
+    at least ``least`` standard deviations, which keeps chance out.
+    """
     size = {r["cls"]: r["count"] for r in sample.groupBy("cls").count().collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,36 +56,40 @@ def telling_features(sample: DataFrame, classes: list[str], keep: int) -> list[s
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], ["feature", "cls", "n"])
 
     seen = sample.select("text", "cls").mapInArrow(count, "feature string, cls string, n bigint")
-    sums = seen.groupBy("feature").agg(*(F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"n{i}") for i, c in enumerate(classes)))
+    sums = seen.groupBy("feature").agg(*(F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"n{i}") for i, c in enumerate(classes)), F.sum("n").alias("every"))
     total = sum(size.values())
-    every = sum(F.col(f"n{i}") for i in range(len(classes)))
+    every = F.col("every")
     test = []
     for i, c in enumerate(classes):
         own, rest = size.get(c, 0), total - size.get(c, 0)
         if own and rest:
             p = every / F.lit(total)
-            z = (F.col(f"n{i}") / own - (every - F.col(f"n{i}")) / rest) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / own + 1 / rest))
-            test.append(F.abs(z))
+            z = (F.col(f"n{i}") / own - (every - F.col(f"n{i}")) / rest - 0.5 * (1 / own + 1 / rest)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / own + 1 / rest))
+            test.append(z)
     if not test:
         return []
     best = test[0] if len(test) == 1 else F.greatest(*test)
-    top = sums.where(every >= max(3, math.isqrt(total) // 20)).select("feature", best.alias("z")).orderBy(F.desc("z"), "feature").limit(keep)
+    top = sums.where(every >= max(4, math.isqrt(total) // 20)).select("feature", best.alias("z")).where(F.col("z") >= least).orderBy(F.desc("z"), "feature").limit(keep)
     return [r["feature"] for r in top.collect()]
 
 
-def dense(sample: DataFrame, chosen: list[str]) -> tuple[np.ndarray, list[str]]:
-    """Presence of the chosen features in the rows of a bounded sample(text, cls), and the rows' classes."""
+def dense(sample: DataFrame, chosen: list[str], also: Callable[[str | None], list[float]] | None = None) -> tuple[np.ndarray, list[str]]:
+    """Presence of the chosen features in the rows of a bounded sample(text, cls), then what also gives, and the rows' classes."""
     index = {f: i for i, f in enumerate(chosen)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [sorted(index[f] for f in features(t.as_py()) if f in index) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), batch.column(1)], ["hits", "cls"])
+            texts = batch.column(0).to_pylist()
+            hits = [sorted(index[f] for f in features(t) if f in index) for t in texts]
+            more = [[float(x) for x in also(t)] if also else [] for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), batch.column(1), pa.array(more, pa.list_(pa.float64()))], ["hits", "cls", "more"])
 
-    rows = sample.select("text", "cls").mapInArrow(run, "hits array<int>, cls string").toPandas()
+    rows = sample.select("text", "cls").mapInArrow(run, "hits array<int>, cls string, more array<double>").toPandas()
     x = np.zeros((len(rows), len(chosen)), np.float32)
     for i, hits in enumerate(rows["hits"]):
         x[i, np.asarray(hits, np.int64)] = 1
+    if also and len(rows):
+        x = np.concatenate([x, np.stack(rows["more"].tolist())], axis=1)
     return x, rows["cls"].tolist()
 
 

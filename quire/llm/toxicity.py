@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch
-from quire.llm.features import Present, dense, smallest_hashes, telling_features
+from quire.llm.features import Present, dense, smallest_hashes, telling_features, texts_of
 
 #: Rows, at most, of confirmed toxic and of unlabelled texts that the classifier is fitted on.
 POSITIVE_ROWS = 4_000
@@ -22,13 +22,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, decay: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, decay: float | None = None, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier by the non-negative PU risk with logistic loss.
 
     risk = prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]): unlabelled
     texts count as negative, less the share of toxic ones among them. Where
     the corrected negative part falls below zero, the step goes against it.
     """
+    decay = 0.1 / len(positive) if decay is None else decay
     w, b = np.zeros(positive.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
@@ -53,13 +54,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, positive_
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id"), "text")
+    ids = docs.where("doc_id is not null").select("doc_id").distinct()
     if not ones:
         return Present([], np.zeros((0,))), -20.0
-    toxic = smallest_hashes(texts.join(known.where("toxic = 1").select("doc_id"), "doc_id"), positive_rows).select("text", F.lit("p").alias("cls"))
-    any_text = smallest_hashes(texts.select("doc_id").join(known, "doc_id", "left_anti").unionByName(known.select("doc_id")).distinct(), unlabelled_rows)
-    sample = scratch.save(toxic.unionByName(texts.join(any_text, "doc_id").select("text", F.lit("u").alias("cls"))), "sample")
-    chosen = telling_features(sample, ["p", "u"], keep)
+    toxic = smallest_hashes(ids.join(known.where("toxic = 1").select("doc_id"), "doc_id"), positive_rows).withColumn("cls", F.lit("p"))
+    some = smallest_hashes(ids, unlabelled_rows).withColumn("cls", F.lit("u"))
+    sample = scratch.save(texts_of(docs, scratch.save(toxic.unionByName(some), "ids")), "sample")
+    chosen = telling_features(sample, ["p"], keep)
     x, cls = dense(sample, chosen)
     is_p = np.array(cls) == "p"
     if is_p.all() or not is_p.any():
@@ -83,3 +84,16 @@ def score_toxicity(docs: DataFrame, model: tuple[Present, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(z))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
+
+
+def without_toxic(docs: DataFrame, model: tuple[Present, float], threshold: float = 0.5) -> DataFrame:
+    """docs without rows whose text scores threshold or more; all columns stay."""
+    present, bias = model
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.array([float(present.total(t.as_py())) + bias for t in batch.column(at)], np.float64)
+            yield batch.filter(pa.array(_sigmoid(z) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
