@@ -1,0 +1,6 @@
+"""Registered queries by subject; QUERIES and ORACLES hold all of them."""
+
+from quire.plans import relational
+
+QUERIES = {**relational.QUERIES}
+ORACLES = {**relational.ORACLES}
