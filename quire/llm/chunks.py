@@ -10,6 +10,7 @@ billions, and no text is ever sorted or shuffled by what it holds.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -36,7 +37,7 @@ LAST = np.iinfo(np.int64).max
 #: Words of more bytes are hashed by XXH64, as long inputs can be made that collide in a polynomial modulo 2**64.
 LONG_WORD = 64
 
-CHUNK_SCHEMA = "chunk bigint, ids binary, known binary, sizes binary, digests binary, body binary, n_bytes bigint, n_words bigint"
+CHUNK_SCHEMA = "chunk bigint, ids binary, known binary, sizes binary, digests binary, body binary, extra binary, n_bytes bigint, n_words bigint"
 
 
 def squeeze(x: np.ndarray, level: int = 1) -> bytes:
@@ -47,10 +48,10 @@ def unsqueeze(b: bytes, kind: type | str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def pack(docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The texts of docs(doc_id, text) as a written table of chunks."""
+def pack(docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """The texts of docs(doc_id, text) as a written table of chunks; carry names columns that stay with them, as JSON."""
 
-    def emit(chunk: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+    def emit(chunk: int, ids: list, texts: list[bytes], extra: list[str]) -> pa.RecordBatch:
         body = b"\n".join(texts) + b"\n"
         row = [
             chunk,
@@ -59,26 +60,29 @@ def pack(docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES) -> D
             np.array([len(t) for t in texts], np.int64).tobytes(),
             b"".join(hashlib.sha256(t).digest()[:16] for t in texts),
             zstandard.ZstdCompressor(level=3).compress(body),
+            zstandard.ZstdCompressor(level=1).compress(json.dumps(extra).encode()) if carry else None,
             sum(map(len, texts)),
             sum(len(t.split()) for t in texts),
         ]
-        kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+        kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        chunk, ids, texts, extra, held = TaskContext.get().partitionId() << 32, [], [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            for i, t, x in zip(*batch.columns, strict=True):
                 ids.append(i.as_py())
+                extra.append(x.as_py())
                 texts.append((t.as_py() or "").encode())
                 held += len(texts[-1]) + 1
                 if held >= chunk_bytes:
-                    yield emit(chunk, ids, texts)
-                    chunk, ids, texts, held = chunk + 1, [], [], 0
+                    yield emit(chunk, ids, texts, extra)
+                    chunk, ids, texts, extra, held = chunk + 1, [], [], [], 0
         if ids:
-            yield emit(chunk, ids, texts)
+            yield emit(chunk, ids, texts, extra)
 
-    return scratch.save(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, CHUNK_SCHEMA), "chunks")
+    others = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    return scratch.save(docs.select(F.col("doc_id").cast("bigint"), "text", others).mapInArrow(run, CHUNK_SCHEMA), "chunks")
 
 
 def later_copies(chunks: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,6 +157,8 @@ class Chunk:
         self.body = zstandard.ZstdDecompressor().decompress(row["body"])
         self.buf = np.frombuffer(self.body, np.uint8)
         self.off = np.cumsum(self.sizes + 1) - self.sizes - 1
+        extra = row.get("extra")
+        self.extra = json.loads(zstandard.ZstdDecompressor().decompress(extra)) if extra else [None] * len(self.order)
         mail = row.get("mail") or []
         self.mail = {}
         for m in sorted(mail, key=lambda m: (m["kind"], m["shard"])):

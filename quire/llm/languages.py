@@ -95,7 +95,7 @@ def fit_languages(docs: DataFrame, smoothing: float = 0.5) -> Mixture:
     The driver receives one number for each language and non-empty bucket.
     """
     rows = docs.where("lang is not null and text is not null").select("text", F.col("lang").cast("string"))
-    counts = rows.mapInArrow(_counts, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(_counts, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(set(counts["lang"]))
     n = np.zeros((len(languages), BUCKETS))
     n[np.searchsorted(languages, counts["lang"]) if languages else [], counts["bucket"].astype(int)] = counts["n"]

@@ -150,9 +150,9 @@ def count_buckets(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
 
-    rows = docs.select(F.lit(None).cast("bigint").alias("id"), "text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.lit(None).cast("bigint").alias("id"), "text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(BUCKETS, np.int64)
-    n[rows["bucket"].astype(int)] = rows["n"]
+    n[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return n
 
 

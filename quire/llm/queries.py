@@ -12,6 +12,7 @@ from quire.llm.common import Scratch, table
 from quire.llm.embeddings import embedding_groups
 from quire.llm.languages import fit_languages, held_out, identify_languages
 from quire.llm.latent import benchmark_hits
+from quire.llm.mixing import mixing_rates
 from quire.llm.pseudo import score_documents, train
 from quire.llm.simhash import simhash_groups
 from quire.llm.suffixes import repeated_bytes
@@ -35,6 +36,18 @@ def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
 
 
+#: Wanted shares of tokens of the labelled kinds (q: quality, t: toxic).
+TARGETS = {"q1t0": 0.85, "q0t0": 0.10, "q1t1": 0.03, "q0t1": 0.02}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("domain"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")), TARGETS, Scratch(spark, "op3"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -73,6 +86,7 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_languages": op2_languages,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,

@@ -182,3 +182,14 @@ def simhash_groups(docs: DataFrame, scratch: Scratch, width: int = 3, max_bits:
     found = connected_components(edges, scratch)
     named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def without_near_copies(docs: DataFrame, scratch: Scratch, width: int = 3, max_bits: int = 2) -> DataFrame:
+    """docs with the document of smallest doc_id of each group; all columns stay.
+
+    Rows that repeat a doc_id stand or fall together; rows without doc_id stay,
+    since nothing tells them from one another.
+    """
+    groups = simhash_groups(docs, scratch, width, max_bits)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("gone"), "left_anti")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,14 +224,15 @@ class Anchors:
         return out
 
 
-def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, shard_keys: int = SHARD_KEYS, chunk_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): texts without bytes of strings that start earlier.
+def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carry: list[str] | None = None, shard_keys: int = SHARD_KEYS, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept, extra): texts without bytes of strings that start earlier.
 
     A byte of a text's UTF-8 goes if a string of ``length`` bytes covers it that
     also starts in a document with a smaller doc_id, or earlier in the same;
     all is judged on the input, overlaps count, and no string crosses texts.
     spans are the removed runs as [start, end); kept is binary, since a cut may
-    fall inside a character.
+    fall inside a character. carry names columns that come along as JSON in
+    extra.
 
     Any ``length`` bytes hold an anchor that their content alone decides, so
     equal strings meet at equal anchors. Anchors that a count-min sketch finds
@@ -249,7 +251,7 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, shar
     """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}")
-    chunks = pack(docs, scratch, chunk_bytes)
+    chunks = pack(docs, scratch, chunk_bytes, carry)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     sketch = Sketch(int(total * 2 / (length - ANCHOR + 2)) + 1, shard_keys, cells_per_key=8, rows=1)
     shards = max(1, -(-total // (16 * shard_keys)))
@@ -322,9 +324,25 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, shar
             spans = (turn[first[i] : last[i]] - chunk.off[i]).tolist()
             text = chunk.text(i)
             kept = b"".join(text[x:y] for x, y in zip([0, *spans[1::2]], [*spans[::2], len(text)], strict=True))
-            yield int(chunk.order[i]) if chunk.known[i] else None, len(text), len(text) - len(kept), list(zip(spans[::2], spans[1::2], strict=True)), kept
+            yield int(chunk.order[i]) if chunk.known[i] else None, len(text), len(text) - len(kept), list(zip(spans[::2], spans[1::2], strict=True)), kept, chunk.extra[i]
 
-    return each_chunk(chunks, cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary", mail.unionByName(replies))
+    return each_chunk(chunks, cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, extra string", mail.unionByName(replies))
+
+
+def without_repeats(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
+    """docs with what repeated_bytes removes cut from text; n_chars, if there, follows. Bytes of a cut character go too."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = repeated_bytes(docs, scratch, length, carry=others)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [b.as_py().decode(errors="ignore") for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), batch.column(2)], ["doc_id", "text", "extra"])
+
+    out = cut.select("doc_id", "kept", "extra").mapInArrow(decode, "doc_id bigint, text string, extra string")
+    kept = out.select("doc_id", "text", F.from_json("extra", docs.select(*others).schema).alias("x")) if others else out
+    columns = [F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col(f"x.`{c}`") for c in docs.columns]
+    return kept.select(*columns)
 
 
 def _pieces(order: np.ndarray, start: np.ndarray, end: np.ndarray, keep: np.ndarray) -> Iterator[np.ndarray]:
