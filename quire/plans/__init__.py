@@ -1,6 +1,6 @@
 """Registered queries by subject; QUERIES and ORACLES hold all of them."""
 
-from quire.plans import relational
+from quire.plans import books, relational
 
-QUERIES = {**relational.QUERIES}
-ORACLES = {**relational.ORACLES}
+QUERIES = {**relational.QUERIES, **books.QUERIES}
+ORACLES = {**relational.ORACLES, **books.ORACLES}
