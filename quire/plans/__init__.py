@@ -1,6 +1,6 @@
 """Registered queries by subject; QUERIES and ORACLES hold all of them."""
 
-from quire.plans import books, relational
+from quire.plans import books, relational, styles
 
-QUERIES = {**relational.QUERIES, **books.QUERIES}
-ORACLES = {**relational.ORACLES, **books.ORACLES}
+QUERIES = {**relational.QUERIES, **books.QUERIES, **styles.QUERIES}
+ORACLES = {**relational.ORACLES, **books.ORACLES, **styles.ORACLES}
