@@ -171,6 +171,15 @@ def span_minimums(cells: list[tuple[int, int, float]], columns: int) -> list[flo
     return out
 
 
+def row_heights(cells: list[tuple[int, int, float]], rows: int) -> list[float]:
+    """Height of each row for cells(row, row_span, height): cells of one row first; the last row of a span grows by what is lacking, by ascending span."""
+    out = [0.0] * rows
+    for row, span, height in sorted(cells, key=lambda c: (c[1], c[0])):
+        last = min(row + span, rows) - 1
+        out[last] += max(0.0, height - sum(out[row : last + 1]))
+    return out
+
+
 def paginate_table(heights: list[float], groups: list[int], header: int, page: float) -> Iterator[tuple[int, int, bool]]:
     """(first row, end row, header repeated) of a table's pages: rows of one group stay together if a page can hold them."""
     head = sum(heights[:header])

@@ -29,6 +29,28 @@ def block_offsets(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
+def resolve_links(places: DataFrame, sections: DataFrame) -> DataFrame:
+    """(book_id, path, at, name, kind, to_path, to_at, found): where links and note references lead.
+
+    places as read_places gives them, sections(book_id, path). A fragment that
+    isn't there leads to its section's start, with found false; a target
+    outside of the sections has no to_at.
+    """
+    links = places.where("kind in ('link', 'noteref') and target is not null").withColumns({"to_path": F.substring_index("target", "#", 1), "fragment": F.when(F.col("target").contains("#"), F.substring_index("target", "#", -1))})
+    anchors = places.where("kind = 'anchor'").groupBy("book_id", F.col("path").alias("to_path"), F.col("name").alias("fragment")).agg(F.min("at").alias("anchor_at"))
+    known = sections.select("book_id", F.col("path").alias("to_path")).distinct().withColumn("known", F.lit(True))
+    out = links.join(anchors, ["book_id", "to_path", "fragment"], "left").join(known, ["book_id", "to_path"], "left")
+    at = F.when(F.col("known"), F.coalesce("anchor_at", F.lit(0).cast("bigint")))
+    return out.select("book_id", "path", "at", "name", "kind", "to_path", at.alias("to_at"), (F.col("known").isNotNull() & (F.col("fragment").isNull() | F.col("anchor_at").isNotNull())).alias("found"))
+
+
+def note_texts(links: DataFrame, blocks: DataFrame) -> DataFrame:
+    """links of kind noteref with the text of the block that they lead to: blocks(book_id, path, start, end, text)."""
+    notes = links.where("kind = 'noteref' and to_at is not null")
+    b = blocks.select(F.col("book_id").alias("b_"), F.col("path").alias("p_"), "start", "end", F.col("text").alias("note"))
+    return notes.join(b, (notes.book_id == F.col("b_")) & (notes.to_path == F.col("p_")) & (notes.to_at >= F.col("start")) & (notes.to_at <= F.col("end"))).drop("b_", "p_", "start", "end")
+
+
 def locator(text: Column, start: Column, end: Column, ref: Column) -> Column:
     """A locator as JSON: reference, offset, and the text at, before and after it."""
     first, last = F.greatest(start - CONTEXT, F.lit(0)), F.least(end, start + HIGHLIGHT)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quire.functions import href
 from quire.functions.dates import publication_date
 from quire.functions.text import finite_double_col
 from quire.sources import xmldoc
-from quire.sources.htmltree import blocks, parse_html
-from quire.sources.package import Reader
+from quire.sources.htmltree import blocks, parse_html, places
+from quire.sources.package import Book, ProviderReader, Reader
 from quire.sources.zipdir import Fatal, read_directory, read_entry
 
 ENTRY = "ord int, name string, raw_name string, name_len int, flags int, method int, csize bigint, usize bigint, lho bigint, crc32 bigint, invalid string, is_dir boolean"
@@ -58,14 +59,34 @@ def read_books(books: DataFrame, strict: bool = False) -> DataFrame:
     """
 
     def one(book_id: str, content: bytes | None) -> Iterator[dict]:
-        b = Reader(content or b"", strict).read()
-        info = {k: (list(v.items()) if k == "raw" else v) for k, v in b.info.items()} or None
-        diagnostics = [{**d, "details": list(d["details"].items())} for d in b.diagnostics]
-        yield {"book_id": book_id, "opf_path": b.opf_path, "delta": b.directory.delta if b.directory else None, "zip64": b.directory.zip64 if b.directory else None, "fatal": b.fatal, "info": info, "entries": [_dict(e) for e in b.directory.entries] if b.directory else [], "manifest": b.manifest, "spine": b.spine, "nav": b.nav, "diagnostics": diagnostics}
+        yield _book_row(book_id, Reader(content or b"", strict).read())
 
     return books.select("book_id", "content").mapInArrow(_rows(one, BOOK), BOOK)
 
 
+def read_provided(resources: DataFrame, strict: bool = False) -> DataFrame:
+    """The same rows for books whose files are rows already: resources(book_id, href, bytes), in the clear.
+
+    A book's resources come together in one task, as one archive's would. Of
+    repeated names the first in order of bytes counts; null bytes are empty.
+    """
+
+    def one(book_id: str, found: list[dict]) -> Iterator[dict]:
+        files: dict[str, bytes] = {}
+        for r in found:
+            files.setdefault(r["href"], r["bytes"] or b"")
+        yield _book_row(book_id, ProviderReader(files, strict).read())
+
+    listed = resources.where("href is not null").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("href", "bytes"))).alias("files"))
+    return listed.mapInArrow(_rows(one, BOOK), BOOK)
+
+
+def _book_row(book_id: str, b: Book) -> dict:
+    info = {k: (list(v.items()) if k == "raw" else v) for k, v in b.info.items()} or None
+    diagnostics = [{**d, "details": list(d["details"].items())} for d in b.diagnostics]
+    return {"book_id": book_id, "opf_path": b.opf_path, "delta": b.directory.delta if b.directory else None, "zip64": b.directory.zip64 if b.directory else None, "fatal": b.fatal, "info": info, "entries": [_dict(e) for e in b.directory.entries] if b.directory else [], "manifest": b.manifest, "spine": b.spine, "nav": b.nav, "diagnostics": diagnostics}
+
+
 def exploded(read: DataFrame, column: str) -> DataFrame:
     """One of a read book's lists as a table, ``ord`` its order where it has none of its own."""
     rows = read.select("book_id", F.posexplode(column).alias("ord_", "x"))
@@ -122,6 +143,38 @@ def read_blocks(books: DataFrame) -> DataFrame:
     return books.select("book_id", "content").mapInArrow(_rows(one, schema), schema)
 
 
+def read_places(books: DataFrame) -> DataFrame:
+    """(book_id, pos, path, kind, name, target, at): anchors, links and page marks of the sections, at offsets of the canonical text.
+
+    A row of kind 'anchor' has its id as name; of kind 'link' or 'noteref', the
+    text as name and where it leads as target, path and fragment; of kind
+    'pagebreak' the page's label.
+    """
+
+    def one(book_id: str, content: bytes | None) -> Iterator[dict]:
+        data = content or b""
+        b = Reader(data).read()
+        if b.fatal:
+            return
+        for s in b.spine:
+            if not s["local"] or s["kind"] != "xhtml":
+                continue
+            try:
+                raw, _ = read_entry(data, b.directory.find(s["content_path"]))
+            except Fatal:
+                continue
+            for kind, name, ref, at in places(parse_html(xmldoc.decode_markup(raw, html=True)[0])):
+                target = None
+                if ref is not None and not href.has_scheme(ref):
+                    path, fragment = href.split_fragment(ref)
+                    to = s["content_path"] if not path else href.normalize(href.dirname(s["content_path"]), path)
+                    target = to and (href.decode_path(to) or to) + ("#" + fragment if fragment else "")
+                yield {"book_id": book_id, "pos": s["pos"], "path": s["content_path"], "kind": kind, "name": name, "target": target, "at": at}
+
+    schema = "book_id string, pos int, path string, kind string, name string, target string, at bigint"
+    return books.select("book_id", "content").mapInArrow(_rows(one, schema), schema)
+
+
 def clear_fonts(books: DataFrame) -> DataFrame:
     """(book_id, path, kind, bytes, is_font) of the obfuscated fonts, made plain where the book has the key."""
 

@@ -170,6 +170,44 @@ def blocks(root: Element) -> list[tuple[str, str]]:
     return out
 
 
+def places(root: Element) -> list[tuple[str, str, str | None, int]]:
+    """(kind, name, reference, offset) of anchors, links, note references and page breaks.
+
+    Offsets count in the canonical text: the leaf blocks' texts, a line feed
+    after each. What stands outside of a leaf is where the next one begins.
+    """
+    out: list[tuple[str, str, str | None, int]] = []
+    leaves = {id(n) for n in root.walk(_NO_TEXT) if n.tag in LEAVES and not any(c.tag in LEAVES for c in n.walk(_NO_TEXT))}
+    start, leaf, raw = 0, None, ""
+    stack: list[tuple[Iterator[Element | str], Element | None]] = [(iter(root.children), None)]
+    while stack:
+        node = next(stack[-1][0], None)
+        if node is None:
+            done = stack.pop()[1]
+            if done is not None and done is leaf:
+                text = raw if leaf.tag == "pre" else collapse_html(raw)
+                start, leaf = start + (len(text) + 1 if text else 0), None
+            continue
+        if isinstance(node, str):
+            raw += node if leaf is not None else ""
+            continue
+        if node.tag in _NO_TEXT:
+            continue
+        if id(node) in leaves:
+            leaf, raw = node, ""
+        before = raw if leaf is not None and leaf.tag == "pre" else collapse_html(raw + "x")[:-1] if leaf is not None else ""
+        at = start + len(before)
+        if name := node.attrs.get("id"):
+            out.append(("anchor", name, None, at))
+        types = tokens(node.attrs.get("epub:type"))
+        if "pagebreak" in types:
+            out.append(("pagebreak", collapse_html(node.attrs.get("title") or node.attrs.get("aria-label") or node.text()), None, at))
+        if node.tag == "a" and "href" in node.attrs:
+            out.append(("noteref" if "noteref" in types else "link", collapse_html(node.text(_NO_TEXT)), trim(node.attrs["href"]), at))
+        stack.append((iter(node.children), node))
+    return out
+
+
 #: Limits of navigation lists. Fixed values.
 MAX_DEPTH, MAX_ENTRIES = 64, 100_000
 

@@ -37,6 +37,8 @@ class Book:
 
 
 class Reader:
+    """Reads a packaged book from its bytes."""
+
     def __init__(self, data: bytes, strict: bool = False):
         self.data, self.strict, self.book = data, strict, Book()
 
@@ -109,11 +111,18 @@ class Reader:
             raise Fatal("encrypted", "key", "lcp")
         if any(i.adept for i in items):
             raise Fatal("encrypted", "key", "adobe-adept")
-        named = [(e.name if (e := find(i.uri)) else i.uri, i.algorithm) for i in items]
-        for path, algorithm in named:
-            if not X.is_font_path(path):
-                raise Fatal("encrypted", "resource", f"unknown:{algorithm}", path)
-        for path, algorithm in named:
+        for i in items:
+            if not X.is_font_path(self._named(i.uri)):
+                raise Fatal("encrypted", "resource", f"unknown:{i.algorithm}", self._named(i.uri))
+        self._obfuscated(items)
+
+    def _named(self, uri: str) -> str:
+        e = self.book.directory.find(uri)
+        return e.name if e else uri
+
+    def _obfuscated(self, items: list[X.Encrypted]) -> None:
+        b = self.book
+        for path, algorithm in ((self._named(i.uri), i.algorithm) for i in items):
             b.obfuscation[path] = X.obfuscation(algorithm)
             if b.obfuscation[path] == "unknown":
                 b.say("fontObfuscationUnknown", path, algorithm=algorithm)
@@ -341,6 +350,39 @@ class Reader:
         return best["path"]
 
 
+class ProviderReader(Reader):
+    """Reads a book whose resources come one by one and in the clear.
+
+    Encryption can't be fatal then: what encryption.xml says of fonts counts,
+    except for real ciphers, and one that can't be read is ignored. Names are
+    matched as they are.
+    """
+
+    def __init__(self, resources: dict[str, bytes], strict: bool = False):
+        super().__init__(b"", strict)
+        self.resources = resources
+
+    def _container(self) -> None:
+        b = self.book
+        b.directory = Directory([Entry(k, name, name, len(name), 0, 0, len(data), len(data), 0, 0, None) for k, (name, data) in enumerate(self.resources.items())], 0, False)
+        b.directory.by_folded = {}
+        data = self.resources.get("META-INF/encryption.xml")
+        if data is None:
+            return
+        try:
+            items = X.encrypted_items(data.decode("utf-8", "replace")) if len(data) <= MAX_METADATA else None
+        except X.XmlError:
+            items = None
+        if items is None:
+            b.say("encryptionIgnored", "META-INF/encryption.xml", reason="too-large" if len(data) > MAX_METADATA else "invalid-xml")
+            return
+        self._obfuscated([i for i in items if X.is_font_path(i.uri) and not (i.lcp or i.adept or i.algorithm.startswith(X.XMLENC))])
+
+    def _fetch(self, path: str) -> tuple[Entry, bytes] | None:
+        e = self.book.directory.by_name.get(path)
+        return None if e is None else (e, self.resources[path])
+
+
 def reconcile(toc: list[dict], spine: list[dict], say) -> list[dict]:
     """The table of contents with an entry for each linear section it leaves out, where reading order puts it."""
     index: dict[str, int] = {}

@@ -175,3 +175,31 @@ def test_html():
 
 def test_crc_is_zlib():
     assert zlib.crc32(b"123456789") == 3421780262
+
+
+def test_provided(spark):
+    data = book(toc=[("C1", "Text/c1.xhtml", 1)])
+    d = read_directory(data)
+    files = {e.name: read_entry(data, e)[0] for e in d.entries}
+    files["META-INF/encryption.xml"] = b"<broken"
+    rows = [("p", k, bytearray(v)) for k, v in files.items()] + [("q", "x", None), ("p", None, None)]
+    read = B.read_provided(spark.createDataFrame(rows, "book_id string, href string, bytes binary"))
+    got = {r.book_id: r for r in read.collect()}
+    assert got["p"].fatal is None and len(got["p"].spine) == 6 and {x.code for x in got["p"].diagnostics} == {"encryptionIgnored", "tocReconciled"}
+    assert got["q"].fatal.kind == "container"
+
+
+def test_places_and_links(spark):
+    from quire.operators import locator
+
+    one = section("1", []).replace("<body>", '<body><h1 id="t">Title</h1><p>See <a epub:type="noteref" href="b.xhtml#n1">1</a> and <a href="#t">up</a>, <a href="b.xhtml#gone">x</a> <a href="http://x/">y</a></p><span epub:type="pagebreak" title="7"></span><p>end</p>')
+    two = section("2", []).replace("<body>", '<body><p>first</p><aside id="n1"><p>The note.</p></aside>')
+    w = BookWriter(sections=[("a.xhtml", one), ("b.xhtml", two)], toc=[("A", "a.xhtml", 1), ("B", "b.xhtml", 1)])
+    df = spark.createDataFrame([("k", bytearray(w.build()))], "book_id string, content binary")
+    places = B.read_places(df)
+    assert [(r.name, r.at) for r in places.where("kind = 'pagebreak'").collect()] == [("7", 24)]
+    blocks = locator.block_offsets(B.read_blocks(df), ["book_id", "path"])
+    links = locator.resolve_links(places, B.read_blocks(df).select("book_id", "path"))
+    got = {(r.name, r.kind, r.at): (r.to_path, r.to_at, r.found) for r in links.collect()}
+    assert got == {("1", "noteref", 10): ("OEBPS/b.xhtml", 6, True), ("up", "link", 16): ("OEBPS/a.xhtml", 0, True), ("x", "link", 20): ("OEBPS/b.xhtml", 0, False)}
+    assert [r.note for r in locator.note_texts(links, blocks).collect()] == ["The note."]

@@ -102,3 +102,7 @@ def test_display_map(text, hyphens, upper):
         assert P.to_canonical(changes, P.to_display(changes, i)) == i
     if upper:
         assert shown.replace("­", "") == "".join(c.upper() for c in text)
+
+
+def test_row_heights():
+    assert L.row_heights([(0, 1, 2.0), (1, 1, 1.0), (0, 2, 5.0), (1, 9, 1.0)], 2) == [2.0, 3.0]
