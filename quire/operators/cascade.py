@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 from quire.functions import css, href
 from quire.functions.text import ascii_lower, utf16_len
 from quire.sources.htmltree import Element, parse_html
+from quire.sources.package import Reader
+from quire.sources.xmldoc import decode_markup
+from quire.sources.zipdir import Fatal, read_entry
 
 #: Limits. Fixed values.
 MAX_SHEET, MAX_SECTION = 1 << 20, 4 << 20
@@ -339,23 +342,81 @@ def computed_styles(pages: DataFrame) -> DataFrame:
     def one(key: int, html: str | None) -> Iterator[dict]:
         root = parse_html(html or "")
         sheets = [parsed(t) for _, t in load_sheets(root, "", lambda path: None).sheets]
-        ids: dict[int, int] = {}
-        for node, s, origin in Cascade(sheets).run(root):
-            ids[id(node)] = len(ids)
-            yield {
-                "key": key, "eid": ids[id(node)], "parent": ids[id(node.parent)] if node.parent else None, "tag": node.tag, "depth": node.depth, "sibling": node.index, "siblings": node.siblings, "display": s["display"], "white_space": s["white-space"], "direction": s["direction"], "text_align": text_align(s),
-                "font_style": s["font-style"], "bold": s["font-weight"] >= 600, "font_size": s["font-size"], "list_style_type": s["list-style-type"], "underline": s["underline"], "line_through": s["line-through"], "margin_top": s["margin-top"], "margin_left": s["margin-left"], "padding_left": s["padding-left"], "text_indent": s["text-indent"],
-                "origins": list(origin.items()),
-            }
+        for row in _style_rows(Cascade(sheets), root):
+            yield {"key": key, **row}
 
+    return pages.mapInArrow(_each_row(one, arrow), COMPUTED)
+
+
+def _style_rows(cascade: Cascade, root: Element) -> Iterator[dict]:
+    ids: dict[int, int] = {}
+    for n, (node, s, origin) in enumerate(cascade.run(root)):
+        ids[id(node)] = n
+        yield {
+            "eid": n, "parent": ids[id(node.parent)] if node.parent else None, "tag": node.tag, "depth": node.depth, "sibling": node.index, "siblings": node.siblings, "display": s["display"], "white_space": s["white-space"], "direction": s["direction"], "text_align": text_align(s),
+            "font_style": s["font-style"], "bold": s["font-weight"] >= 600, "font_size": s["font-size"], "list_style_type": s["list-style-type"], "underline": s["underline"], "line_through": s["line-through"], "margin_top": s["margin-top"], "margin_left": s["margin-left"], "padding_left": s["padding-left"], "text_indent": s["text-indent"],
+            "origins": list(origin.items()),
+        }
+
+
+def _each_row(one: Callable[..., Iterator[dict]], arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                rows = list(one(*(c[k].as_py() for c in batch.columns)))
-                if rows:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows := list(one(*row)):
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return pages.mapInArrow(run, COMPUTED)
+    return run
+
+
+def _sections(data: bytes) -> Iterator[tuple[int, str, Element, Callable[[str], bytes | None]]]:
+    """(position, path, tree, reader of other entries) of a book's readable sections."""
+    book = Reader(data).read()
+    if book.fatal:
+        return
+
+    def fetch(path: str) -> bytes | None:
+        e = book.directory.find(path)
+        try:
+            return read_entry(data, e)[0] if e else None
+        except Fatal:
+            return None
+
+    for s in book.spine:
+        raw = fetch(s["content_path"]) if s["local"] and s["kind"] == "xhtml" else None
+        if raw is not None:
+            yield s["pos"], s["content_path"], parse_html(decode_markup(raw, html=True)[0]), fetch
+
+
+def book_styles(books: DataFrame) -> DataFrame:
+    """A row for each element of each section of books(book_id, content), styled by all sheets that the section brings."""
+    schema = "book_id string, pos int, path string, " + COMPUTED.removeprefix("key bigint, ")
+
+    def one(book_id: str, content: bytes | None) -> Iterator[dict]:
+        for pos, path, root, fetch in _sections(content or b""):
+            sheets = [parsed(t) for _, t in load_sheets(root, path, fetch).sheets]
+            for row in _style_rows(Cascade(sheets), root):
+                yield {"book_id": book_id, "pos": pos, "path": path, **row}
+
+    return books.select("book_id", "content").mapInArrow(_each_row(one, to_arrow_schema(StructType.fromDDL(schema))), schema)
+
+
+def style_diagnostics(books: DataFrame) -> DataFrame:
+    """(book_id, pos, path, code, href, reason): what of the sections' styles was ignored or can't be laid out, once each."""
+    schema = "book_id string, pos int, path string, code string, href string, reason string"
+
+    def one(book_id: str, content: bytes | None) -> Iterator[dict]:
+        for pos, path, root, fetch in _sections(content or b""):
+            loaded = load_sheets(root, path, fetch)
+            cascade = Cascade([parsed(t) for _, t in loaded.sheets])
+            for _ in cascade.run(root):
+                pass
+            found = [*loaded.diagnostics, *(("unsupportedLayout", path, f"{k}:{v}") for k, v in cascade.degraded.items())]
+            found += [("stylesheetIgnored", path, "style-attribute")] * cascade.style_too_large + [("cssRuleIgnored", path, "budget")] * cascade.exhausted + [("cssRuleIgnored", path, "rules")] * cascade.author.truncated
+            for code, ref, reason in found:
+                yield {"book_id": book_id, "pos": pos, "path": path, "code": code, "href": ref, "reason": reason}
+
+    return books.select("book_id", "content").mapInArrow(_each_row(one, to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
 RULES = "key bigint, ord int, selectors int, specificity bigint, bucket string, property string, value string, important boolean"

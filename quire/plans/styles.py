@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import style_columns
 from quire.operators import cascade, layout, locator
 from quire.sources import books as B
 
@@ -84,10 +85,32 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.page_blocks(_read(spark, sf_dir, "pages")).groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (css_rules, css_computed, style_dictionary, pagination, pagination_coverage, table_grid, canonical_offsets, search_locators, block_kinds)}
+def style_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style arithmetic over all line items: quantities as lengths and weights, flags as keywords."""
+    q, flag = F.col("l_quantity"), F.col("l_returnflag")
+    unit = F.element_at(F.array(*map(F.lit, ["px", "em", "%", "pt", "vw", ""])), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    em = style_columns.em_length(q, unit, 0.3)
+    weight = style_columns.relative_weight(q * 20, F.when(flag == "A", "bolder").when(flag == "N", "lighter").otherwise("normal"))
+    align = style_columns.text_align(F.when(flag == "A", "left").when(flag == "N", "right").otherwise("center"), F.when(F.col("l_linestatus") == "O", "ltr").otherwise("rtl"))
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", style_columns.clamped(em, -4.0, 8.0).alias("indent"), weight.alias("weight"), align.alias("align"), style_columns.font_size_step(q / 25).alias("step"))
+    return rows.groupBy("align", "weight", "step", F.round("indent", 6).alias("indent")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (css_rules, css_computed, style_scalars, style_dictionary, pagination, pagination_coverage, table_grid, canonical_offsets, search_locators, block_kinds)}
 
 _SPLIT = "string_split(coalesce(text, ''), chr(10))"
 ORACLES: dict[str, str] = {
+    "style_scalars": """
+WITH r AS (
+  SELECT l_orderkey, l_quantity AS q, l_returnflag AS f, l_linestatus AS s, ['px', 'em', '%', 'pt', 'vw', ''][l_linenumber % 6 + 1] AS u, l_quantity * 20 AS w FROM lineitem
+), v AS (
+  SELECT l_orderkey, CASE u WHEN 'px' THEN q / 16 WHEN 'em' THEN q WHEN '%' THEN q * 0.3::DOUBLE WHEN 'pt' THEN q / 12 END AS em,
+    CASE f WHEN 'A' THEN CASE WHEN w < 350 THEN 400 WHEN w < 550 THEN 700 ELSE greatest(900, w) END WHEN 'N' THEN CASE WHEN w < 100 THEN w WHEN w < 550 THEN 100 WHEN w < 750 THEN 400 ELSE 700 END ELSE w END::DOUBLE AS weight,
+    CASE WHEN f NOT IN ('A', 'N') THEN 'center' WHEN (f = 'A') = (s = 'O') THEN 'start' ELSE 'end' END AS align,
+    CASE WHEN q / 25 < 0.95 THEN 'smaller' WHEN q / 25 > 1.05 THEN 'larger' ELSE 'same' END AS step
+  FROM r)
+SELECT align, weight, step, round(CASE WHEN em IS NOT NULL THEN greatest(-4, least(8, em)) END, 6)::DOUBLE AS indent, count(*) AS n, min(l_orderkey) AS first FROM v GROUP BY ALL
+""",
     "css_rules": "SELECT page_id, unnest(range(n)) AS sheet, 'margin-' || side AS property, 'em 0.0' AS value, 'tag:p' AS bucket, 1::BIGINT AS specificity FROM (SELECT page_id, len(regexp_extract_all(html, '<style>p\\{margin:0\\}</style>')) AS n, unnest(['top', 'right', 'bottom', 'left']) AS side FROM pages)",
     "css_computed": "SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs, len(regexp_extract_all(html, '<p>'))::BIGINT AS styled, len(regexp_extract_all(html, '<h1>'))::BIGINT AS headings, len(regexp_extract_all(html, '<li>'))::BIGINT AS items FROM pages",
     "pagination_coverage": f"SELECT doc_id AS section, sum(greatest(1, ceil(length(t) / 60)))::BIGINT AS lines, true AS fits FROM (SELECT doc_id, unnest({_SPLIT}) AS t FROM documents) GROUP BY doc_id",

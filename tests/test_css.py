@@ -148,3 +148,14 @@ def test_tables(spark):
     rows = computed_styles(pages).where("tag = 'p'").collect()
     assert [(r.margin_top, r.origins["margin-top"]) for r in rows] == [(1.0, "author")]
     assert sheet_rules(spark.createDataFrame([(1, "p,q{margin:0}"), (2, None)], "key long, css string")).count() == 4
+
+
+def test_books(spark):
+    from quire.sources.epub import BookWriter, section
+
+    head = '<link rel="stylesheet" href="../css/a.css"/><link rel="stylesheet" href="gone.css"/>'
+    w = BookWriter(sections=[("Text/a.xhtml", section("A", ["x", "y"], head))], toc=[("A", "Text/a.xhtml", 1)], extra=[("css/a.css", b"@import 'b.css'; p{margin-top:3em;float:left} p:hover{x:y}", "text/css"), ("css/b.css", b"p{margin-top:1em;text-indent:1em}", "text/css")])
+    df = spark.createDataFrame([("k", bytearray(w.build())), ("bad", bytearray(b"x"))], "book_id string, content binary")
+    got = C.book_styles(df).where("tag = 'p'").collect()
+    assert [(r.margin_top, r.text_indent) for r in got] == [(3.0, 1.0)] * 2
+    assert {(r.code, r.href, r.reason) for r in C.style_diagnostics(df).collect()} == {("stylesheetIgnored", "OEBPS/Text/gone.css", "missing"), ("unsupportedLayout", "OEBPS/Text/a.xhtml", "float:left"), ("cssRuleIgnored", "OEBPS/css/a.css", "selector:unsupported:1")}
