@@ -35,7 +35,7 @@ SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (
 ) WHERE rn = 1
 """)
 def first_wins(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem")
+    rows = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
     return R.first_wins(rows, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity", "l_suppkey"]).select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
