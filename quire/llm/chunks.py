@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import MIX, Scratch, mix64
 
 #: Bytes of text in a chunk, unless one text is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Keys of a shard, about: what one task holds at once.
 SHARD_KEYS = 1 << 21
 #: Cells of a sketch row for each key.
@@ -113,21 +112,20 @@ def later_copies(chunks: DataFrame, scratch: Scratch) -> DataFrame:
 MAIL_SCHEMA = "chunk bigint, kind string, shard bigint, data binary"
 
 
-@cache
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        x = np.full(n, b, np.uint64)
-        x[0] = 1
-        out.append(np.cumprod(x, dtype=np.uint64))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i up to n at least."""
-    return _powers(int(base), max(16, int(n).bit_length()))
+    """base**i and its inverse modulo 2**64, for i up to n at least; kept for the longest input so far."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known[0]) <= n:
+        both = []
+        for b in (int(base), pow(int(base), -1, 1 << 64)):
+            x = np.full((n // (1 << 17) + 1) * (1 << 17) + 1, b, np.uint64)
+            x[0] = 1
+            both.append(np.cumprod(x, dtype=np.uint64))
+        known = _POWERS[int(base)] = both[0], both[1]
+    return known
 
 
 class Sums:
@@ -228,7 +226,8 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
 class Sketch:
     """Plan of a count-min sketch that is dealt out in shards, its size in proportion to the keys."""
 
-    def __init__(self, keys: int, shard_keys: int = SHARD_KEYS, cells_per_key: int = CELLS_PER_KEY, rows: int = SKETCH_ROWS):
+    def __init__(self, keys: int, shard_keys: int = SHARD_KEYS, cells_per_key: int = CELLS_PER_KEY, rows: int = SKETCH_ROWS, levels: tuple[int, ...] = (1,)):
+        self.levels = levels
         self.rows, self.shards = rows, max(1, -(-keys // shard_keys))
         self.cells = max(1 << 10, -(-keys * cells_per_key // self.shards))
 
@@ -236,44 +235,46 @@ class Sketch:
         return (mix64(key + np.uint64((row + 1) * int(MIX) % 2**64)) % np.uint64(self.cells * self.shards)).astype(np.int64)
 
     def _messages(self, key: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, cells, counts) of a chunk's distinct keys, counts no more than 2."""
+        """(shard, cells, counts) of a chunk's distinct keys, counts no more than matters."""
+        most = min(self.levels[-1] + 1, 0xFFFF)
         for row in range(self.rows):
             cell, at = np.unique(self.cells_of(key, row), return_inverse=True)
-            n = np.minimum(2, np.bincount(at, weights=count, minlength=len(cell))).astype(np.uint8)
+            n = np.minimum(most, np.bincount(at, weights=count, minlength=len(cell))).astype(np.uint16)
             cut = np.searchsorted(cell, np.arange(self.shards + 1) * self.cells)
             for s in range(self.shards):
                 if cut[s] < cut[s + 1]:
                     yield row * self.shards + s, cell[cut[s] : cut[s + 1]] - s * self.cells, n[cut[s] : cut[s + 1]]
 
     def repeated(self, chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], scratch: Scratch) -> DataFrame:
-        """Mail 'often': for each chunk and shard, which of the chunk's cells count 2 or more in all."""
+        """Mail 'often': for each chunk and shard, and each level, which of the chunk's cells count more than that in all."""
 
         def send(chunk: Chunk) -> Iterator[tuple]:
             for shard, cell, n in self._messages(*keys_of(chunk)):
-                yield chunk.id, shard, _pack_sorted(cell), np.packbits(n > 1).tobytes()
+                yield chunk.id, shard, _pack_sorted(cell), squeeze(n)
 
-        cells = self.cells
+        cells, levels = self.cells, self.levels
+        kind, most = (np.uint8, 2) if levels[-1] == 1 else (np.uint32, levels[-1] + 1)
 
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            count, got = np.zeros(cells, np.uint8), []
-            for packed, many in zip(pdf["cells"], pdf["many"], strict=True):
+            count, got = np.zeros(cells, kind), []
+            for packed, n in zip(pdf["cells"], pdf["counts"], strict=True):
                 got.append(_unpack_sorted(packed))
-                count[got[-1]] = np.minimum(2, count[got[-1]] + 1 + np.unpackbits(np.frombuffer(many, np.uint8), count=len(got[-1])))
-            return pd.DataFrame({"chunk": pdf["chunk"], "kind": "often", "shard": pdf["shard"], "data": [np.packbits(count[x] > 1).tobytes() for x in got]})
+                count[got[-1]] = np.minimum(most, count[got[-1]] + unsqueeze(n, np.uint16))
+            return pd.DataFrame({"chunk": pdf["chunk"], "kind": "often", "shard": pdf["shard"], "data": [np.packbits(np.stack([count[x] > k for k in levels])).tobytes() for x in got]})
 
-        sent = each_chunk(chunks, send, "chunk bigint, shard bigint, cells binary, many binary")
+        sent = each_chunk(chunks, send, "chunk bigint, shard bigint, cells binary, counts binary")
         return scratch.save(sent.groupBy("shard").applyInPandas(merge, MAIL_SCHEMA), "often")
 
-    def estimate(self, chunk: Chunk, key: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Which of the keys may occur twice or more, by the replies of all shards."""
-        often, replies = np.ones(len(key), bool), iter(chunk.mail.get("often", []))
+    def estimate(self, chunk: Chunk, key: np.ndarray) -> np.ndarray:
+        """For each level, which of the keys may occur more often, by the replies of all shards."""
+        over, replies = np.ones((len(self.levels), len(key)), bool), iter(chunk.mail.get("often", []))
         for row in range(self.rows):
             cell = self.cells_of(key, row)
             order = np.argsort(cell)
             cell = cell[order]
             new = np.append(True, cell[1:] != cell[:-1])[: len(cell)]
             sizes = np.diff(np.searchsorted(cell[new], np.arange(self.shards + 1) * self.cells))
-            bits = [np.unpackbits(np.frombuffer(next(replies), np.uint8), count=n).astype(bool) for n in sizes[sizes > 0]]
+            bits = [np.unpackbits(np.frombuffer(next(replies), np.uint8), count=n * len(self.levels)).astype(bool).reshape(-1, n) for n in sizes[sizes > 0]]
             if bits:
-                often[order] &= np.concatenate(bits)[np.cumsum(new) - 1]
-        return often
+                over[:, order] &= np.concatenate(bits, axis=1)[:, np.cumsum(new) - 1]
+        return over

@@ -4,15 +4,37 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 500
+
 _ROOTS: list[tuple[SparkSession, str]] = []
 
 
+def _give_memory_back() -> None:
+    """Has the C library return large freed blocks at once.
+
+    Python workers are used again for task after task; what one task needed
+    for a moment would otherwise stay with its worker and count against the
+    executor. M_MMAP_THRESHOLD (-3) and M_TRIM_THRESHOLD (-1), where there is glibc.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)
+        libc.mallopt(-1, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_memory_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +66,8 @@ class Scratch:
         if not base:
             base = tempfile.mkdtemp(prefix="quire-")
             spark.conf.set("quire.scratch.dir", base)
+        # Texts are long: batches of a few hundred rows keep what executors and their workers hold small.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark, self.root = spark, f"{base}/{name}-{uuid.uuid4().hex}"
         _ROOTS.append((spark, self.root))
 

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
 
+#: Features that a task counts before it sends their sums on.
+COUNTED = 50_000
+
+
 def words(text: str | None) -> set[str]:
     """Distinct lower-cased words, bare of punctuation at their ends."""
     return {w.strip(".,;:!?\"'()[]|") for w in set((text or "").lower().split())} - {""}
@@ -38,6 +42,10 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "cls")), "doc_id").select("text", "cls")
 
 
+def _sums(total: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["feature", "cls", "n"])
+
+
 def telling_features(sample: DataFrame, classes: list[str], keep: int, least: float = 4.0) -> list[str]:
     """Features of a bounded sample(text, cls) that are commoner in one of the classes than in the rest of the sample.
 
@@ -52,8 +60,10 @@ def telling_features(sample: DataFrame, classes: list[str], keep: int, least: fl
             for text, cls in zip(batch.column(0), batch.column(1), strict=True):
                 c = cls.as_py()
                 total.update((f, c) for f in features(text.as_py()))
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], ["feature", "cls", "n"])
+                if len(total) > COUNTED:
+                    yield _sums(total)
+                    total = Counter()
+        yield _sums(total)
 
     seen = sample.select("text", "cls").mapInArrow(count, "feature string, cls string, n bigint")
     sums = seen.groupBy("feature").agg(*(F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"n{i}") for i, c in enumerate(classes)), F.sum("n").alias("every"))

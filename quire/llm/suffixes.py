@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.chunks import MAIL_SCHEMA, SHARD_KEYS, Chunk, Sketch, Sums, each_chunk, later_copies, pack, powers, squeeze, unsqueeze
+from quire.llm.chunks import CHUNK_BYTES, MAIL_SCHEMA, SHARD_KEYS, Chunk, Sketch, Sums, each_chunk, later_copies, pack, powers, squeeze, unsqueeze
 from quire.llm.common import MIX, Scratch, mix64
 
 #: Bytes of an anchor; of every ``length`` bytes the leftmost anchor with the smallest hash is chosen.
 ANCHOR = 37
 #: Suffixes that are sorted at once, in whole groups.
 PIECE = 20_000
+#: Occurrences of an anchor above which the strings around it are dealt out one by one.
+HOT = 50_000
 _LOW = np.uint64(0xFFFFFFFF)
+#: Multiplier of the strings' second hash (odd).
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class SuffixOrder:
@@ -190,9 +194,11 @@ class Anchors:
         A later equal context repeats all of the first; ``whole`` has those.
         ``twin`` has rows at the very place of the first (a repeated doc_id).
         """
-        distinct, n = self.keys()
-        maybe = distinct[sketch.estimate(self.chunk, distinct, n)]
-        pick = np.flatnonzero(np.isin(self.key, maybe) & ~self.chunk.copy[self.doc])
+        distinct, at = np.unique(self.key, return_inverse=True)
+        often, hot = sketch.estimate(self.chunk, distinct)
+        own = ~self.chunk.copy[self.doc]
+        self.hot = np.flatnonzero(hot[at] & own)
+        pick = np.flatnonzero(often[at] & ~hot[at] & own)
         a, b = self.at[pick] - self.n_left[pick], self.at[pick] + self.n_right[pick]
         around = mix64(self.sums.of(a, b)) + self.n_left[pick].astype(np.uint64) * MIX + self.n_right[pick].astype(np.uint64)
         order = np.lexsort((self.pos[pick], self.chunk.order[self.doc[pick]], around))
@@ -224,7 +230,38 @@ class Anchors:
         return out
 
 
-def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carry: list[str] | None = None, shard_keys: int = SHARD_KEYS, chunk_bytes: int = 2 << 20) -> DataFrame:
+class HotWindows:
+    """All strings of a chunk around anchors that are too common for one task, grouped by 96-bit hash."""
+
+    def __init__(self, a: Anchors):
+        chunk, length = a.chunk, a.length
+        start = np.unique((a.at[a.hot][:, None] - np.arange(a.before + 1)).ravel())
+        start = start[start >= 0]
+        doc = np.searchsorted(chunk.off, start, "right") - 1
+        inside = start + length <= chunk.off[doc] + chunk.sizes[doc]
+        self.start, doc = start[inside], doc[inside]
+        first = mix64(a.sums.of(self.start, self.start + length))
+        second = mix64(Sums(chunk.buf + np.uint64(1), _OTHER).of(self.start, self.start + length)) >> np.uint64(32) if len(self.start) else first
+        self.doc, self.pos = chunk.order[doc], self.start - chunk.off[doc]
+        order = np.lexsort((self.pos, self.doc, second, first))
+        new = np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))[: len(order)]
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.lead = order[new]
+        self.first, self.second = first[self.lead], second[self.lead].astype(np.uint32)
+
+    def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Groups by shard, and where each shard's begin."""
+        shard = (self.first % np.uint64(shards)).astype(np.int64)
+        return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(shards + 1))
+
+    def later(self) -> np.ndarray:
+        """Strings that start earlier in this very chunk."""
+        lead = self.lead[self.group]
+        return (self.doc > self.doc[lead]) | ((self.doc == self.doc[lead]) & (self.pos > self.pos[lead]))
+
+
+def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carry: list[str] | None = None, shard_keys: int = SHARD_KEYS, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept, extra): texts without bytes of strings that start earlier.
 
     A byte of a text's UTF-8 goes if a string of ``length`` bytes covers it that
@@ -241,7 +278,10 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carr
     mergesort that compares by prefix hashes and binary search, and neighbours'
     common extensions, verified on the bytes, tell what repeats. A chunk
     sends equal contexts once, so common strings cost little; whole copies of
-    a text are settled by their digests.
+    a text are settled by their digests. An anchor that occurs more than ``hot``
+    times might have more contexts than a task should hold: the strings around
+    it are dealt out by their own hashes instead, each chunk sending one
+    entry for each, so that no anchor's contexts meet in one place.
 
     Null text is empty. A null doc_id is later than any other and equal to
     other nulls. Rows with one doc_id are one document; a string at the
@@ -253,8 +293,8 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carr
         raise ValueError(f"length must be at least {ANCHOR}")
     chunks = pack(docs, scratch, chunk_bytes, carry)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    sketch = Sketch(int(total * 2 / (length - ANCHOR + 2)) + 1, shard_keys, cells_per_key=8, rows=1)
-    shards = max(1, -(-total // (16 * shard_keys)))
+    sketch = Sketch(int(total * 2 / (length - ANCHOR + 2)) + 1, shard_keys // 4 + 1, cells_per_key=8, rows=1, levels=(1, hot))
+    shards = max(1, -(-total // (8 * shard_keys)))
     often = sketch.repeated(chunks, lambda c: Anchors(c, length).keys(), scratch)
     mail = later_copies(chunks, scratch).unionByName(often)
     before = length - ANCHOR
@@ -269,9 +309,17 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carr
                 col = np.arange(-before, length)
                 inside = (col >= -a.n_left[rows][:, None]) & (col < a.n_right[rows][:, None])
                 sizes = np.stack([a.n_left[rows], a.n_right[rows]]).astype(np.uint16)
-                yield chunk.id, s, a.key[rows].tobytes(), squeeze(chunk.order[a.doc[rows]]), squeeze(a.pos[rows]), squeeze(sizes), squeeze(context[inside], 3)
+                yield chunk.id, "reach", s, a.key[rows].tobytes(), squeeze(chunk.order[a.doc[rows]]), squeeze(a.pos[rows]), squeeze(sizes), squeeze(context[inside], 3)
+        w = HotWindows(a)
+        groups, cut = w.dealt(shards)
+        for s in range(shards):
+            g = groups[cut[s] : cut[s + 1]]
+            if len(g):
+                yield chunk.id, "hot", s, w.first[g].tobytes(), squeeze(w.doc[w.lead[g]]), squeeze(w.pos[w.lead[g]]), squeeze(w.second[g]), None
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["kind"].iloc[0] == "hot":
+            return _first_of(pdf)
         key = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["key"]])
         doc, pos = (np.concatenate([unsqueeze(b, np.int64) for b in pdf[c]]) for c in ("doc", "pos"))
         sizes = np.concatenate([unsqueeze(b, np.uint16).reshape(2, -1) for b in pdf["sizes"]], axis=1).astype(np.int64)
@@ -297,8 +345,8 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carr
         ends = np.cumsum([len(b) // 8 for b in pdf["key"]])
         return pd.DataFrame({"chunk": pdf["chunk"], "kind": "reach", "shard": pdf["shard"], "data": [squeeze(x) for x in np.split(reach, ends[:-1], axis=1)]})
 
-    sent = each_chunk(chunks, send, "chunk bigint, shard bigint, key binary, doc binary, pos binary, sizes binary, context binary", mail)
-    replies = scratch.save(sent.groupBy("shard").applyInPandas(match, MAIL_SCHEMA), "reach")
+    sent = each_chunk(chunks, send, "chunk bigint, kind string, shard bigint, key binary, doc binary, pos binary, sizes binary, context binary", mail)
+    replies = scratch.save(sent.groupBy("kind", "shard").applyInPandas(match, MAIL_SCHEMA), "reach")
 
     def cut_out(chunk: Chunk) -> Iterator[tuple]:
         a = Anchors(chunk, length)
@@ -313,6 +361,17 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carr
         edge = np.zeros(len(chunk.buf) + 1, np.int64)
         np.add.at(edge, a.at[hit] - reach[0, hit], 1)
         np.add.at(edge, a.at[hit] + reach[1, hit], -1)
+        if len(a.hot):
+            w = HotWindows(a)
+            groups, cut = w.dealt(shards)
+            sizes = np.diff(cut)
+            gone = np.zeros(len(w.lead), bool)
+            flags = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(chunk.mail.get("hot", []), sizes[sizes > 0], strict=True)]
+            if flags:
+                gone[groups] = np.concatenate(flags)
+            again = w.start[gone[w.group] | w.later()]
+            np.add.at(edge, again, 1)
+            np.add.at(edge, again + length, -1)
         late = np.flatnonzero(chunk.copy & (chunk.sizes >= length))
         np.add.at(edge, chunk.off[late], 1)
         np.add.at(edge, chunk.off[late] + chunk.sizes[late], -1)
@@ -345,6 +404,20 @@ def without_repeats(docs: DataFrame, scratch: Scratch, length: int = 100) -> Dat
     return kept.select(*columns)
 
 
+def _first_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which of the strings that chunks sent start earlier in another chunk."""
+    first = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["key"]])
+    second = np.concatenate([unsqueeze(b, np.uint32) for b in pdf["sizes"]])
+    doc, pos = (np.concatenate([unsqueeze(b, np.int64) for b in pdf[c]]) for c in ("doc", "pos"))
+    order = np.lexsort((pos, doc, second, first))
+    new = np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))
+    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    earlier = np.empty(len(order), bool)
+    earlier[order] = (doc[lead] < doc[order]) | ((doc[lead] == doc[order]) & (pos[lead] < pos[order]))
+    ends = np.cumsum([len(b) // 8 for b in pdf["key"]])
+    return pd.DataFrame({"chunk": pdf["chunk"], "kind": "hot", "shard": pdf["shard"], "data": [np.packbits(x).tobytes() for x in np.split(earlier, ends[:-1])]})
+
+
 def _pieces(order: np.ndarray, start: np.ndarray, end: np.ndarray, keep: np.ndarray) -> Iterator[np.ndarray]:
     """Rows of the kept groups, whole groups together, about PIECE at a time."""
     start, end = start[keep], end[keep]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.chunks import MAIL_SCHEMA, SHARD_KEYS, Chunk, Sketch, Sums, each_chunk, later_copies, pack, squeeze, unsqueeze
+from quire.llm.chunks import CHUNK_BYTES, MAIL_SCHEMA, SHARD_KEYS, Chunk, Sketch, Sums, each_chunk, later_copies, pack, squeeze, unsqueeze
 from quire.llm.common import MIX, Scratch, mix64
 
 #: Multiplier of the second window hash (odd).
@@ -52,13 +52,13 @@ class Windows:
 
 def _sent(chunk: Chunk, windows: Windows, sketch: Sketch, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Groups that go to the exact pass, by shard, and where each shard's begin."""
-    maybe = np.flatnonzero(sketch.estimate(chunk, *windows.keys()) & windows.active(chunk))
+    maybe = np.flatnonzero(sketch.estimate(chunk, windows.first)[0] & windows.active(chunk))
     shard = (windows.first[maybe] % np.uint64(shards)).astype(np.int64)
     maybe = maybe[np.argsort(shard, kind="stable")]
     return maybe, np.searchsorted(np.sort(shard), np.arange(shards + 1))
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = 13, *, shard_keys: int = SHARD_KEYS, cells_per_key: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = 13, *, shard_keys: int = SHARD_KEYS, cells_per_key: int = 3, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, text): texts without words of windows that an earlier document has.
 
     A window is ``width`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one row's

@@ -72,8 +72,8 @@ def test_bytes(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], SCHEMA)
     want = brute_bytes(rows, 100)
-    for shard_keys, chunk_bytes in ((1 << 21, 2 << 20), (40, 3000)):
-        got = repeated_bytes(df.repartition(3), Scratch(spark, "t"), shard_keys=shard_keys, chunk_bytes=chunk_bytes).collect()
+    for shard_keys, chunk_bytes, hot in ((1 << 21, 2 << 20, 50_000), (40, 3000, 50_000), (40, 3000, 2), (1 << 21, 3000, 5)):
+        got = repeated_bytes(df.repartition(3), Scratch(spark, "t"), shard_keys=shard_keys, chunk_bytes=chunk_bytes, hot=hot).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == want
     assert sum(r[2] for r in want) > 10_000
 
