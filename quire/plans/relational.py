@@ -116,9 +116,9 @@ def fallback_chain(spark, sf_dir):
     return R.fallback_chain(spark, "chain_items")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def toc_orphans(spark, sf_dir):
-    entries = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.lit(None).cast("int").alias("content"))
+    entries = read(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("item"), F.lit(None).cast("int").alias("content"))
     other = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.lit(None).cast("bigint").alias("item"), F.col("s_nationkey").alias("content"))
     return R.uncovered(read(spark, sf_dir, "customer"), entries.unionByName(other), [("c_custkey", "item"), ("c_nationkey", "content")]).select("c_custkey", "c_name")
 
