@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,6 @@ ROUNDS = 12
 #: Cost of one more language, in units of half a logarithm of the n-gram count.
 PENALTY = 4.0
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -63,7 +61,7 @@ class Mixture:
         All languages are mixed first. Sets of those with the largest shares
         are then compared by log-likelihood less a penalty for each language.
         """
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0, []
         n = np.bincount(grams(text), minlength=BUCKETS)
         at = np.flatnonzero(n)
