@@ -22,24 +22,20 @@ TOLERANCE = 1e-6
 def manner(text: str | None) -> list[float]:
     """How a text is written: length, word length, repeated words and lines, shares of kinds of characters."""
     t = text or ""
-    words, lines = t.split(), t.split("\n")
+    words, lines, raw = t.split(), t.split("\n"), t.encode()
     n = max(1, len(t))
-    letters = sum(map(len, words))
+    of = lambda kind: len(raw) - len(raw.translate(None, kind))
     return [
         np.log1p(len(words)),
-        letters / max(1, len(words)) / 10,
+        sum(map(len, words)) / max(1, len(words)) / 10,
         len(set(words)) / max(1, len(words)),
         len(set(lines)) / len(lines),
-        (t.count("|") + t.count("!") + t.count("{") + t.count("<")) * 10 / n,
-        (n - len(t.translate(_DIGITS))) * 10 / n,
-        (n - len(t.translate(_CAPITALS))) * 3 / n,
+        of(b"|!{<") * 10 / n,
+        of(b"0123456789") * 10 / n,
+        of(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 3 / n,
     ]
 
 
-_DIGITS = {ord(c): None for c in "0123456789"}
-_CAPITALS = {c: None for c in range(ord("A"), ord("Z") + 1)}
-
-
 class Domains:
     """A softmax classifier: posterior of each domain for a text."""
 
