@@ -27,8 +27,8 @@ def _give_memory_back() -> None:
     """
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)
-        libc.mallopt(-1, 1 << 20)
+        libc.mallopt(-3, 16 << 20)
+        libc.mallopt(-1, 8 << 20)
     pa.set_memory_pool(pa.system_memory_pool())
 
 
