@@ -23,8 +23,8 @@ SHARED = 1024
 OFFSETS = np.array([-3, -2, -1, 1, 2, 3])
 EMBED, HIDDEN = 12, 32
 #: Share of each partition's tokens that a training round visits.
-TRAIN_SHARE = 0.08
-ROUNDS = 2
+TRAIN_SHARE = 1.0
+ROUNDS = 1
 BATCH = 1024
 #: Models that are averaged in one task, or on the driver.
 FAN_IN = 32

@@ -77,3 +77,11 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     model = train(df, Scratch(spark, "t"))
     assert score_documents(df, model).count() == 0 and isinstance(model[0], Vocabulary)
+
+
+def test_every_token_is_trained_on(spark):
+    df = spark.createDataFrame([(i, "a b c d e " * 40) for i in range(20)], "doc_id long, text string").repartition(2)
+    scratch = Scratch(spark, "t")
+    train(df, scratch)
+    seen = spark.read.parquet(f"{scratch.root}/models-*").agg({"weight": "sum"}).first()[0]
+    assert seen >= 20 * 200
