@@ -25,7 +25,9 @@ def grams(text: str) -> np.ndarray:
     b = np.frombuffer(b" " + text.lower().encode().translate(_PLAIN) + b" ", np.uint8)
     code = (b[:-2].astype(np.uint64) << np.uint64(16)) | (b[1:-1].astype(np.uint64) << np.uint64(8)) | b[2:]
     space = b == 32
-    code = code[space[:-2].astype(np.int8) + space[1:-1] + space[2:] < 2]
+    kept = code[space[:-2].astype(np.int8) + space[1:-1] + space[2:] < 2]
+    # A text of single letters alone has but trigrams of a letter between spaces.
+    code = kept if len(kept) else code[~space[1:-1]]
     return (mix64(code) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 

@@ -140,3 +140,10 @@ def test_mixing(spark):
     none = mixing_rates(df, labels.limit(0), targets, Scratch(spark, "t")).collect()
     assert {r.rate for r in none} == {1.0} and {r.domain for r in none} == {None}
     assert mixing_rates(df.limit(0), labels, targets, Scratch(spark, "t")).count() == 0
+
+
+def test_single_letters_have_a_language(spark):
+    df = spark.createDataFrame([(0, "a cat is a pet", "aa"), (1, "ung sch ei", "bb")], "doc_id long, text string, lang string")
+    model = fit_languages(df)
+    assert all(model.infer(t)[0] in ("aa", "bb") for t in ("a", "A 1", "1 b 2"))
+    assert all(model.infer(t)[0] == "und" for t in (None, "", "1 2 !"))
