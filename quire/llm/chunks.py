@@ -10,7 +10,7 @@ billions, and no text is ever sorted or shuffled by what it holds.
 from __future__ import annotations
 
 import hashlib
-import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,11 +21,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.llm.common import MIX, Scratch, mix64
 
-#: Bytes of text in a chunk, unless one text is longer.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text in a chunk, least and most, unless one text is longer.
+CHUNK_BYTES = (1 << 18, 1 << 23)
+#: Chunks that all texts make while the most isn't reached: as shards grow with the input, so do chunks, and
+#: a message between the two keeps its number of keys.
+CHUNKS = 350
+#: Bytes of a chunk that are looked at together.
+SEGMENT = 1 << 20
 #: Keys of a shard, about: what one task holds at once.
 SHARD_KEYS = 1 << 21
 #: Cells of a sketch row for each key.
@@ -33,8 +40,6 @@ CELLS_PER_KEY = 3
 SKETCH_ROWS = 2
 #: Stands for a null doc_id in comparisons: later than any other.
 LAST = np.iinfo(np.int64).max
-#: Words of more bytes are hashed by XXH64, as long inputs can be made that collide in a polynomial modulo 2**64.
-LONG_WORD = 64
 
 CHUNK_SCHEMA = "chunk bigint, ids binary, known binary, sizes binary, digests binary, body binary, extra binary, n_bytes bigint, n_words bigint"
 
@@ -47,11 +52,27 @@ def unsqueeze(b: bytes, kind: type | str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def pack(docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """The texts of docs(doc_id, text) as a written table of chunks; carry names columns that stay with them, as JSON."""
+def chunk_size(docs: DataFrame) -> int:
+    """Bytes of text in each chunk of docs(text), by all of its texts."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(max(total // CHUNKS, CHUNK_BYTES[0]), CHUNK_BYTES[1])
 
-    def emit(chunk: int, ids: list, texts: list[bytes], extra: list[str]) -> pa.RecordBatch:
-        body = b"\n".join(texts) + b"\n"
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def pack(docs: DataFrame, scratch: Scratch, chunk_bytes: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The texts of docs(doc_id, text) as a written table of chunks; carry names columns that stay with them, as Arrow batches."""
+    carried, size = carry or [], chunk_bytes or chunk_size(docs)
+
+    def emit(chunk: int, ids: list, texts: list[bytes], extra: list[pa.RecordBatch]) -> pa.RecordBatch:
+        body, others = b"\n".join(texts) + b"\n", pa.BufferOutputStream()
+        if carried:
+            with pa.ipc.new_stream(others, extra[0].schema) as stream:
+                for part in extra:
+                    stream.write_batch(part)
         row = [
             chunk,
             np.array([LAST if i is None else i for i in ids], np.int64).tobytes(),
@@ -59,7 +80,7 @@ def pack(docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES, carr
             np.array([len(t) for t in texts], np.int64).tobytes(),
             b"".join(hashlib.sha256(t).digest()[:16] for t in texts),
             zstandard.ZstdCompressor(level=3).compress(body),
-            zstandard.ZstdCompressor(level=1).compress(json.dumps(extra).encode()) if carry else None,
+            zstandard.ZstdCompressor(level=1).compress(others.getvalue().to_pybytes()) if carried else None,
             sum(map(len, texts)),
             sum(len(t.split()) for t in texts),
         ]
@@ -69,19 +90,23 @@ def pack(docs: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES, carr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, texts, extra, held = TaskContext.get().partitionId() << 32, [], [], [], 0
         for batch in batches:
-            for i, t, x in zip(*batch.columns, strict=True):
+            others, begin = pa.RecordBatch.from_arrays(batch.columns[2:], batch.schema.names[2:]) if carried else None, 0
+            for k, (i, t) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
                 ids.append(i.as_py())
-                extra.append(x.as_py())
                 texts.append((t.as_py() or "").encode())
                 held += len(texts[-1]) + 1
-                if held >= chunk_bytes:
+                if held >= size:
+                    if carried:
+                        extra.append(others.slice(begin, k + 1 - begin))
                     yield emit(chunk, ids, texts, extra)
-                    chunk, ids, texts, extra, held = chunk + 1, [], [], [], 0
+                    chunk, ids, texts, extra, held, begin = chunk + 1, [], [], [], 0, k + 1
+            if carried and begin < len(others):
+                extra.append(others.slice(begin))
         if ids:
             yield emit(chunk, ids, texts, extra)
 
-    others = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
-    return scratch.save(docs.select(F.col("doc_id").cast("bigint"), "text", others).mapInArrow(run, CHUNK_SCHEMA), "chunks")
+    others = [F.col(quoted(c)).alias(f"x{i}") for i, c in enumerate(carried)]
+    return scratch.save(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("read"), *others).mapInArrow(run, CHUNK_SCHEMA), "chunks")
 
 
 def later_copies(chunks: DataFrame, scratch: Scratch) -> DataFrame:
@@ -155,8 +180,7 @@ class Chunk:
         self.body = zstandard.ZstdDecompressor().decompress(row["body"])
         self.buf = np.frombuffer(self.body, np.uint8)
         self.off = np.cumsum(self.sizes + 1) - self.sizes - 1
-        extra = row.get("extra")
-        self.extra = json.loads(zstandard.ZstdDecompressor().decompress(extra)) if extra else [None] * len(self.order)
+        self._extra = row.get("extra")
         mail = row.get("mail") or []
         self.mail = {}
         for m in sorted(mail, key=lambda m: (m["kind"], m["shard"])):
@@ -168,23 +192,52 @@ class Chunk:
     def text(self, i: int) -> bytes:
         return self.body[self.off[i] : self.off[i] + self.sizes[i]]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text number of each word."""
-        space = _SPACE[self.buf]
-        start = np.flatnonzero(~space & np.append(True, space[:-1]))
-        end = np.flatnonzero(space & np.append(False, ~space[:-1]))
-        h = mix64(Sums(self.buf + np.uint64(1)).of(start, end) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        for k in np.flatnonzero(end - start > LONG_WORD):
-            h[k] = xxhash.xxh64_intdigest(self.body[start[k] : end[k]], 7)
-        return h, np.searchsorted(self.off, start, "right") - 1
+    def extra(self) -> list[pa.Array]:
+        """The columns that were carried along."""
+        if self._extra is None:
+            return []
+        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._extra)) as stream:
+            return [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in stream.read_all().columns]
+
+    def words(self) -> Words:
+        return Words(self)
+
+
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
-def each_chunk(chunks: DataFrame, run: Callable[[Chunk], Iterator[tuple]], schema: str, mail: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Rows that run gives for each chunk; mail(chunk, kind, shard, data) is laid beside its chunk."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
+class Words:
+    """The words of a chunk: number (equal words alone have equal ones), 64-bit hash and text of each, and all of them joined by one space.
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    A segment is looked at at a time, so that no more than that is held as
+    separate words.
+    """
+
+    def __init__(self, chunk: Chunk):
+        numbers: dict[bytes, int] = {}
+        ids, doc, sizes, joined, begin = [], [], [], [], 0
+        while begin < len(chunk.body):
+            gap = _GAP.search(chunk.body, min(begin + SEGMENT, len(chunk.body) - 1))
+            end = gap.end() if gap else len(chunk.body)
+            found = chunk.body[begin:end].split()
+            for w in set(found).difference(numbers):
+                numbers[w] = len(numbers)
+            space = _SPACE[chunk.buf[begin:end]]
+            start = np.flatnonzero(~space & np.append(True, space[:-1])) + begin
+            ids.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            doc.append((np.searchsorted(chunk.off, start, "right") - 1).astype(np.int32))
+            joined.append(b" ".join(found) + b" " if found else b"")
+            begin = end
+        self.ids, self.doc = np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int32), *doc])
+        self.hash = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in numbers), np.uint64, len(numbers))[self.ids]
+        self.joined = b"".join(joined)
+        self.off = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]) + 1))
+
+
+def each_chunk(chunks: DataFrame, run: Callable[[Chunk], Iterator[tuple | pa.RecordBatch]], schema: str | StructType, mail: DataFrame | None = None) -> DataFrame:
+    """Rows, or batches of them, that run gives for each chunk; mail(chunk, kind, shard, data) is laid beside its chunk."""
+    out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
     if mail is not None:
         letters = mail.groupBy("chunk").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("mail"))
         chunks = chunks.drop("digests").join(letters, "chunk", "left")
@@ -194,6 +247,9 @@ def each_chunk(chunks: DataFrame, run: Callable[[Chunk], Iterator[tuple]], schem
             for k in range(batch.num_rows):
                 rows, held = [], 0
                 for row in run(Chunk(batch.slice(k, 1).to_pylist()[0])):
+                    if isinstance(row, pa.RecordBatch):
+                        yield row
+                        continue
                     rows.append(row)
                     held += sum(len(v) for v in row if isinstance(v, bytes | str))
                     if held > 4 << 20:
@@ -209,6 +265,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each value of sorted x, where its run begins and where it ends."""
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[at], at, np.append(at[1:], len(x))[: len(at)]
+
+
+def digest(b: bytes | memoryview) -> bytes:
+    """128 bits of BLAKE2b: names contents, as no two different ones can be found that share it."""
+    return hashlib.blake2b(b, digest_size=16).digest()
+
+
 def _pack_sorted(cells: np.ndarray) -> bytes:
     """Sorted distinct numbers as differences, low and high bytes apart."""
     d = np.diff(cells, prepend=np.int64(0))
@@ -240,10 +307,8 @@ class Sketch:
         for row in range(self.rows):
             cell, at = np.unique(self.cells_of(key, row), return_inverse=True)
             n = np.minimum(most, np.bincount(at, weights=count, minlength=len(cell))).astype(np.uint16)
-            cut = np.searchsorted(cell, np.arange(self.shards + 1) * self.cells)
-            for s in range(self.shards):
-                if cut[s] < cut[s + 1]:
-                    yield row * self.shards + s, cell[cut[s] : cut[s + 1]] - s * self.cells, n[cut[s] : cut[s + 1]]
+            for s, a, b in zip(*(x.tolist() for x in runs(cell // self.cells)), strict=True):
+                yield row * self.shards + s, cell[a:b] - s * self.cells, n[a:b]
 
     def repeated(self, chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], scratch: Scratch) -> DataFrame:
         """Mail 'often': for each chunk and shard, and each level, which of the chunk's cells count more than that in all."""
@@ -273,8 +338,8 @@ class Sketch:
             order = np.argsort(cell)
             cell = cell[order]
             new = np.append(True, cell[1:] != cell[:-1])[: len(cell)]
-            sizes = np.diff(np.searchsorted(cell[new], np.arange(self.shards + 1) * self.cells))
-            bits = [np.unpackbits(np.frombuffer(next(replies), np.uint8), count=n * len(self.levels)).astype(bool).reshape(-1, n) for n in sizes[sizes > 0]]
+            _, begin, end = runs(cell[new] // self.cells)
+            bits = [np.unpackbits(np.frombuffer(next(replies), np.uint8), count=n * len(self.levels)).astype(bool).reshape(-1, n) for n in (end - begin).tolist()]
             if bits:
                 over[:, order] &= np.concatenate(bits, axis=1)[:, np.cumsum(new) - 1]
         return over

@@ -9,8 +9,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quire.llm.chunks import CHUNK_BYTES, MAIL_SCHEMA, SHARD_KEYS, Chunk, Sketch, Sums, each_chunk, later_copies, pack, powers, squeeze, unsqueeze
+from quire.llm.chunks import MAIL_SCHEMA, SEGMENT, SHARD_KEYS, Chunk, Sketch, Sums, digest, each_chunk, later_copies, pack, powers, runs, squeeze, unsqueeze
 from quire.llm.common import MIX, Scratch, mix64
 
 #: Bytes of an anchor; of every ``length`` bytes the leftmost anchor with the smallest hash is chosen.
@@ -20,8 +22,6 @@ PIECE = 20_000
 #: Occurrences of an anchor above which the strings around it are dealt out one by one.
 HOT = 50_000
 _LOW = np.uint64(0xFFFFFFFF)
-#: Multiplier of the strings' second hash (odd).
-_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class SuffixOrder:
@@ -162,28 +162,45 @@ class Anchors:
 
     def __init__(self, chunk: Chunk, length: int):
         self.chunk, self.length, self.before = chunk, length, length - ANCHOR
-        buf, n = chunk.buf, len(chunk.buf)
-        self.sums = Sums(buf + np.uint64(1))
-        starts = np.arange(max(0, n - ANCHOR + 1))
-        gram = mix64(self.sums.of(starts, starts + ANCHOR))
+        found = [self._segment(s, min(s + SEGMENT, len(chunk.buf))) for s in range(0, len(chunk.buf), SEGMENT)]
+        at, key, around = (np.concatenate([x[k] for x in found]) for k in range(3)) if found else (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2)
+        new = np.append(True, at[1:] != at[:-1])[: len(at)]  # two segments may choose the anchor between them
+        self.at, self.key, self.around = at[new], key[new], around[new]
+        self.doc, self.n_left, self.n_right = self._place(self.at)
+        self.pos = self.at - chunk.off[self.doc]
+
+    def _place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text of each anchor and how many bytes of it count before the anchor and from it on."""
+        off, sizes = self.chunk.off, self.chunk.sizes
+        doc = np.searchsorted(off, at, "right") - 1
+        return doc, np.minimum(self.before, at - off[doc]), np.minimum(self.length, off[doc] + sizes[doc] - at)
+
+    def _segment(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of the strings that start in [begin, end): place, hash, and hash of all that counts around."""
+        chunk, length = self.chunk, self.length
+        low, high = max(0, begin - length), min(len(chunk.buf), end + 2 * length)
+        sums = Sums(chunk.buf[low:high] + np.uint64(1))
+        starts = np.arange(max(0, high - low - ANCHOR + 1))
+        gram = mix64(sums.of(starts, starts + ANCHOR))
         best = (gram & ~_LOW) | starts.astype(np.uint64)
         span = 1
         while span < self.before + 1:
             step = min(span, self.before + 1 - span)
             best = np.minimum(best[:-step], best[step:]) if len(best) > step else best[:0]
             span += step
-        valid = np.zeros(n + 1, np.int64)
         long = chunk.sizes >= length
-        valid[chunk.off[long]] += 1
-        valid[chunk.off[long] + chunk.sizes[long] - length + 1] -= 1
+        first = np.clip(chunk.off[long], begin, end) - low
+        stop = np.clip(chunk.off[long] + chunk.sizes[long] - length + 1, begin, end) - low
+        valid = np.zeros(high - low + 1, np.int32)
+        np.add.at(valid, first, 1)
+        np.add.at(valid, stop, -1)
         windows = np.flatnonzero(np.cumsum(valid[: len(best)]))
         chosen = (best[windows] & _LOW).astype(np.int64)  # ascending
-        self.at = chosen[np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)]]
-        self.key = gram[self.at]
-        self.doc = np.searchsorted(chunk.off, self.at, "right") - 1
-        self.n_left = np.minimum(self.before, self.at - chunk.off[self.doc])
-        self.n_right = np.minimum(length, chunk.off[self.doc] + chunk.sizes[self.doc] - self.at)
-        self.pos = self.at - chunk.off[self.doc]
+        chosen = chosen[np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)]]
+        at = chosen + low
+        _, n_left, n_right = self._place(at)
+        around = mix64(sums.of(chosen - n_left, chosen + n_right)) + n_left.astype(np.uint64) * MIX + n_right.astype(np.uint64)
+        return at, gram[chosen], around
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.key, return_counts=True)
@@ -199,8 +216,7 @@ class Anchors:
         own = ~self.chunk.copy[self.doc]
         self.hot = np.flatnonzero(hot[at] & own)
         pick = np.flatnonzero(often[at] & ~hot[at] & own)
-        a, b = self.at[pick] - self.n_left[pick], self.at[pick] + self.n_right[pick]
-        around = mix64(self.sums.of(a, b)) + self.n_left[pick].astype(np.uint64) * MIX + self.n_right[pick].astype(np.uint64)
+        around = self.around[pick]
         order = np.lexsort((self.pos[pick], self.chunk.order[self.doc[pick]], around))
         pick, around = pick[order], around[order]
         new = np.append(True, around[1:] != around[:-1])[: len(pick)]
@@ -213,8 +229,8 @@ class Anchors:
         self.twin, self.twin_of = pick[~own & place], first[~own & place]
         rows = pick[own]
         shard = (self.key[rows] % np.uint64(shards)).astype(np.int64)
-        self.rows = rows[np.argsort(shard, kind="stable")]
-        self.cut = np.searchsorted(np.sort(shard), np.arange(shards + 1))
+        order = np.argsort(shard, kind="stable")
+        self.rows, self.cut = rows[order], list(zip(*(x.tolist() for x in runs(shard[order])), strict=True))
 
     def context(self, rows: np.ndarray) -> np.ndarray:
         """Bytes around anchors as a matrix, zero outside of the text."""
@@ -231,29 +247,45 @@ class Anchors:
 
 
 class HotWindows:
-    """All strings of a chunk around anchors that are too common for one task, grouped by 96-bit hash."""
+    """All strings of a chunk around anchors that are too common for one task, grouped byte by byte."""
 
     def __init__(self, a: Anchors):
-        chunk, length = a.chunk, a.length
+        chunk, self.length = a.chunk, a.length
+        self.text = memoryview(chunk.body)
         start = np.unique((a.at[a.hot][:, None] - np.arange(a.before + 1)).ravel())
         start = start[start >= 0]
         doc = np.searchsorted(chunk.off, start, "right") - 1
-        inside = start + length <= chunk.off[doc] + chunk.sizes[doc]
+        inside = start + self.length <= chunk.off[doc] + chunk.sizes[doc]
         self.start, doc = start[inside], doc[inside]
-        first = mix64(a.sums.of(self.start, self.start + length))
-        second = mix64(Sums(chunk.buf + np.uint64(1), _OTHER).of(self.start, self.start + length)) >> np.uint64(32) if len(self.start) else first
         self.doc, self.pos = chunk.order[doc], self.start - chunk.off[doc]
-        order = np.lexsort((self.pos, self.doc, second, first))
-        new = np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))[: len(order)]
+        base = powers(MIX, self.length)[0][: self.length]
+        self.first = mix64(np.concatenate([np.zeros(0, np.uint64), *((self._bytes(chunk.buf, rows) + np.uint64(1)) @ base for rows in self._some(np.arange(len(self.start))))]))
+        order = np.lexsort((self.pos, self.doc, self.first))
+        new = np.append(True, np.diff(self.first[order]) != 0)[: len(order)]
+        lead = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+        again = np.flatnonzero(~new)
+        if any(np.any(self._bytes(chunk.buf, order[rows]) != self._bytes(chunk.buf, lead[rows])) for rows in self._some(again)):
+            text = np.array([bytes(self.text[s : s + self.length]) for s in self.start.tolist()], object)
+            order = np.array(sorted(range(len(text)), key=lambda i: (int(self.first[i]), text[i], self.doc[i], self.pos[i])), np.int64)
+            new = np.append(True, text[order][1:] != text[order][:-1])
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
         self.lead = order[new]
-        self.first, self.second = first[self.lead], second[self.lead].astype(np.uint32)
 
-    def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Groups by shard, and where each shard's begin."""
-        shard = (self.first % np.uint64(shards)).astype(np.int64)
-        return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(shards + 1))
+    def _some(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        return iter(np.array_split(rows, len(rows) // PIECE + 1)) if len(rows) else iter(())
+
+    def _bytes(self, buf: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return buf[self.start[rows][:, None] + np.arange(self.length)]
+
+    def dealt(self, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Groups by shard, and each shard with where its groups begin and end."""
+        shard = (self.first[self.lead] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return order, list(zip(*(x.tolist() for x in runs(shard[order])), strict=True))
+
+    def digests(self, groups: np.ndarray) -> bytes:
+        return b"".join(digest(self.text[s : s + self.length]) for s in self.start[self.lead[groups]].tolist())
 
     def later(self) -> np.ndarray:
         """Strings that start earlier in this very chunk."""
@@ -261,15 +293,22 @@ class HotWindows:
         return (self.doc > self.doc[lead]) | ((self.doc == self.doc[lead]) & (self.pos > self.pos[lead]))
 
 
-def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carry: list[str] | None = None, shard_keys: int = SHARD_KEYS, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept, extra): texts without bytes of strings that start earlier.
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of [begin, end) as maximal runs."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    new = np.append(True, begin[1:] > reach[:-1])[: len(begin)]
+    return begin[new], reach[np.append(new[1:], True)[: len(begin)]]
+
+
+def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carry: list[str] | None = None, shard_keys: int = SHARD_KEYS, chunk_bytes: int | None = None, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept), and the columns of carry as x0, x1 and so on: texts without bytes of strings that start earlier.
 
     A byte of a text's UTF-8 goes if a string of ``length`` bytes covers it that
     also starts in a document with a smaller doc_id, or earlier in the same;
     all is judged on the input, overlaps count, and no string crosses texts.
     spans are the removed runs as [start, end); kept is binary, since a cut may
-    fall inside a character. carry names columns that come along as JSON in
-    extra.
+    fall inside a character.
 
     Any ``length`` bytes hold an anchor that their content alone decides, so
     equal strings meet at equal anchors. Anchors that a count-min sketch finds
@@ -280,14 +319,17 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carr
     sends equal contexts once, so common strings cost little; whole copies of
     a text are settled by their digests. An anchor that occurs more than ``hot``
     times might have more contexts than a task should hold: the strings around
-    it are dealt out by their own hashes instead, each chunk sending one
-    entry for each, so that no anchor's contexts meet in one place.
+    it are dealt out one by one instead, each chunk sending one entry for each,
+    so that no anchor's contexts meet in one place. In a chunk they are compared
+    byte by byte, between chunks by 128-bit BLAKE2b digests of their bytes. The
+    result is the same whatever ``hot`` is.
 
     Null text is empty. A null doc_id is later than any other and equal to
     other nulls. Rows with one doc_id are one document; a string at the
     same place of both isn't earlier in either. Texts under ``length`` bytes
     stay whole. Extra columns are not looked at; an empty table gives an empty
-    result.
+    result. Texts stay whole: a long one is a chunk of its own, of which a
+    segment is hashed at a time, and takes some 8 times its bytes in a worker.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}")
@@ -302,20 +344,19 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carr
     def send(chunk: Chunk) -> Iterator[tuple]:
         a = Anchors(chunk, length)
         a.sent(sketch, shards)
-        for s in range(shards):
-            rows = a.rows[a.cut[s] : a.cut[s + 1]]
-            if len(rows):
-                context = a.context(rows)
-                col = np.arange(-before, length)
-                inside = (col >= -a.n_left[rows][:, None]) & (col < a.n_right[rows][:, None])
-                sizes = np.stack([a.n_left[rows], a.n_right[rows]]).astype(np.uint16)
-                yield chunk.id, "reach", s, a.key[rows].tobytes(), squeeze(chunk.order[a.doc[rows]]), squeeze(a.pos[rows]), squeeze(sizes), squeeze(context[inside], 3)
-        w = HotWindows(a)
-        groups, cut = w.dealt(shards)
-        for s in range(shards):
-            g = groups[cut[s] : cut[s + 1]]
-            if len(g):
-                yield chunk.id, "hot", s, w.first[g].tobytes(), squeeze(w.doc[w.lead[g]]), squeeze(w.pos[w.lead[g]]), squeeze(w.second[g]), None
+        for s, begin, end in a.cut:
+            rows = a.rows[begin:end]
+            context = a.context(rows)
+            col = np.arange(-before, length)
+            inside = (col >= -a.n_left[rows][:, None]) & (col < a.n_right[rows][:, None])
+            sizes = np.stack([a.n_left[rows], a.n_right[rows]]).astype(np.uint16)
+            yield chunk.id, "reach", s, a.key[rows].tobytes(), squeeze(chunk.order[a.doc[rows]]), squeeze(a.pos[rows]), squeeze(sizes), squeeze(context[inside], 3)
+        if len(a.hot):
+            w = HotWindows(a)
+            groups, cut = w.dealt(shards)
+            for s, begin, end in cut:
+                g = groups[begin:end]
+                yield chunk.id, "hot", s, w.digests(g), squeeze(w.doc[w.lead[g]]), squeeze(w.pos[w.lead[g]]), None, None
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["kind"].iloc[0] == "hot":
@@ -358,63 +399,65 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, *, carr
         reach[:, a.twin] = reach[:, a.twin_of]
         reach[0, a.whole], reach[1, a.whole] = a.n_left[a.whole], a.n_right[a.whole]
         hit = np.flatnonzero(reach.sum(axis=0) >= length)
-        edge = np.zeros(len(chunk.buf) + 1, np.int64)
-        np.add.at(edge, a.at[hit] - reach[0, hit], 1)
-        np.add.at(edge, a.at[hit] + reach[1, hit], -1)
+        begin, end = [a.at[hit] - reach[0, hit]], [a.at[hit] + reach[1, hit]]
         if len(a.hot):
             w = HotWindows(a)
             groups, cut = w.dealt(shards)
-            sizes = np.diff(cut)
             gone = np.zeros(len(w.lead), bool)
-            flags = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(chunk.mail.get("hot", []), sizes[sizes > 0], strict=True)]
+            flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=q - p).astype(bool) for x, (_, p, q) in zip(chunk.mail.get("hot", []), cut, strict=True)]
             if flags:
                 gone[groups] = np.concatenate(flags)
             again = w.start[gone[w.group] | w.later()]
-            np.add.at(edge, again, 1)
-            np.add.at(edge, again + length, -1)
+            begin.append(again)
+            end.append(again + length)
         late = np.flatnonzero(chunk.copy & (chunk.sizes >= length))
-        np.add.at(edge, chunk.off[late], 1)
-        np.add.at(edge, chunk.off[late] + chunk.sizes[late], -1)
-        gone = (np.cumsum(edge) > 0).astype(np.int8)
-        turn = np.flatnonzero(np.diff(gone, prepend=np.int8(0)))
-        first = np.searchsorted(turn, chunk.off)
-        last = np.searchsorted(turn, chunk.off + chunk.sizes, "right")
+        begin, end = merged(np.concatenate([*begin, chunk.off[late]]), np.concatenate([*end, chunk.off[late] + chunk.sizes[late]]))
+        first = np.searchsorted(begin, chunk.off)
+        last = np.searchsorted(begin, chunk.off + chunk.sizes)
+        rows = []
         for i in range(len(chunk.order)):
-            spans = (turn[first[i] : last[i]] - chunk.off[i]).tolist()
-            text = chunk.text(i)
-            kept = b"".join(text[x:y] for x, y in zip([0, *spans[1::2]], [*spans[::2], len(text)], strict=True))
-            yield int(chunk.order[i]) if chunk.known[i] else None, len(text), len(text) - len(kept), list(zip(spans[::2], spans[1::2], strict=True)), kept, chunk.extra[i]
-
-    return each_chunk(chunks, cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, extra string", mail.unionByName(replies))
+            spans = np.stack([begin[first[i] : last[i]], end[first[i] : last[i]]], axis=1) - chunk.off[i]
+            text, flat = chunk.text(i), spans.ravel().tolist()
+            kept = b"".join(text[x:y] for x, y in zip([0, *flat[1::2]], [*flat[::2], len(text)], strict=True)) if flat else text
+            row = int(chunk.order[i]) if chunk.known[i] else None, len(text), len(text) - len(kept), [(x, y) for x, y in spans.tolist()], kept
+            if carry:
+                rows.append(row)
+            else:
+                yield row
+        if rows:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=False)), *chunk.extra()], schema=arrow)
+
+    schema = StructType([*StructType.fromDDL("doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary").fields, *(StructField(f"x{i}", docs.schema[c].dataType) for i, c in enumerate(carry or []))])
+    arrow = to_arrow_schema(schema)
+    return each_chunk(chunks, cut_out, schema, mail.unionByName(replies))
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
     """docs with what repeated_bytes removes cut from text; n_chars, if there, follows. Bytes of a cut character go too."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
     cut = repeated_bytes(docs, scratch, length, carry=others)
+    schema = StructType([StructField("text", StringType()), *(StructField(f"x{i}", docs.schema[c].dataType) for i, c in enumerate(others))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [b.as_py().decode(errors="ignore") for b in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), batch.column(2)], ["doc_id", "text", "extra"])
+            text = [b.as_py().decode(errors="ignore") for b in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *batch.columns[1:]], schema.names)
 
-    out = cut.select("doc_id", "kept", "extra").mapInArrow(decode, "doc_id bigint, text string, extra string")
-    kept = out.select("doc_id", "text", F.from_json("extra", docs.select(*others).schema).alias("x")) if others else out
-    columns = [F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col(f"x.`{c}`") for c in docs.columns]
-    return kept.select(*columns)
+    kept = cut.select("kept", *schema.names[1:]).mapInArrow(decode, schema)
+    given = {c: F.col(f"x{i}") for i, c in enumerate(others)} | {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "bigint")}
+    return kept.select(*(given[c].alias(c) for c in docs.columns))
 
 
 def _first_of(pdf: pd.DataFrame) -> pd.DataFrame:
     """Which of the strings that chunks sent start earlier in another chunk."""
-    first = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["key"]])
-    second = np.concatenate([unsqueeze(b, np.uint32) for b in pdf["sizes"]])
+    first, second = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 2) for b in pdf["key"]]).T
     doc, pos = (np.concatenate([unsqueeze(b, np.int64) for b in pdf[c]]) for c in ("doc", "pos"))
     order = np.lexsort((pos, doc, second, first))
     new = np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))
     lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     earlier = np.empty(len(order), bool)
     earlier[order] = (doc[lead] < doc[order]) | ((doc[lead] == doc[order]) & (pos[lead] < pos[order]))
-    ends = np.cumsum([len(b) // 8 for b in pdf["key"]])
+    ends = np.cumsum([len(b) // 16 for b in pdf["key"]])
     return pd.DataFrame({"chunk": pdf["chunk"], "kind": "hot", "shard": pdf["shard"], "data": [np.packbits(x).tobytes() for x in np.split(earlier, ends[:-1])]})
 
 
