@@ -38,6 +38,8 @@ SHARD_KEYS = 1 << 21
 #: Cells of a sketch row for each key.
 CELLS_PER_KEY = 3
 SKETCH_ROWS = 2
+#: Marks a word that was looked up: no UTF-8 text has these bytes.
+LONG = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Stands for a null doc_id in comparisons: later than any other.
 LAST = np.iinfo(np.int64).max
 
@@ -204,35 +206,56 @@ class Chunk:
 
 
 _GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
+#: Bytes of a word that are compared as two numbers; longer words are looked up one by one.
+SHORT_WORD = 16
+
+
+def _loaded(b: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first size bytes (8 at most) from each place as one number, zeros after them."""
+    every = np.ndarray((len(b) - 7,), "<u8", b, 0, (1,))
+    size = np.clip(size, 0, 8)
+    return np.where(size > 0, every[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - size) * 8 % 64).astype(np.uint64)), np.uint64(0))
 
 
 class Words:
-    """The words of a chunk: number (equal words alone have equal ones), 64-bit hash and text of each, and all of them joined by one space.
+    """The words of a chunk: number (equal words alone have equal ones) and 64-bit hash of each, and all joined by one space.
 
-    A segment is looked at at a time, so that no more than that is held as
-    separate words.
+    A segment is looked at at a time. Two hashes may collide; numbers are told
+    apart by the words' bytes.
     """
 
     def __init__(self, chunk: Chunk):
-        numbers: dict[bytes, int] = {}
-        ids, doc, sizes, joined, begin = [], [], [], [], 0
+        long: dict[bytes, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = [(*(np.zeros(0, np.uint64),) * 3, *(np.zeros(0, np.int32),) * 2)]
+        joined, begin = [], 0
         while begin < len(chunk.body):
             gap = _GAP.search(chunk.body, min(begin + SEGMENT, len(chunk.body) - 1))
             end = gap.end() if gap else len(chunk.body)
-            found = chunk.body[begin:end].split()
-            for w in set(found).difference(numbers):
-                numbers[w] = len(numbers)
-            space = _SPACE[chunk.buf[begin:end]]
-            start = np.flatnonzero(~space & np.append(True, space[:-1])) + begin
-            ids.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            doc.append((np.searchsorted(chunk.off, start, "right") - 1).astype(np.int32))
-            joined.append(b" ".join(found) + b" " if found else b"")
+            b = np.append(chunk.buf[begin:end], np.zeros(SHORT_WORD + 8, np.uint8))
+            space = _SPACE[b[: end - begin]]
+            after = np.append(True, space[:-1])
+            start, stop = np.flatnonzero(~space & after), np.flatnonzero(space & ~after)
+            size = stop - start
+            low, high = _loaded(b, start, size), _loaded(b, start + 8, size - 8)
+            h = mix64(mix64(low + size.astype(np.uint64) * MIX) + high * np.uint64(0xD6E8FEB86659FD93))
+            for k in np.flatnonzero(size > SHORT_WORD):
+                word = chunk.body[begin + start[k] : begin + stop[k]]
+                low[k], high[k], h[k] = long.setdefault(word, len(long)), LONG, xxhash.xxh64_intdigest(word, 7)
+            parts.append((h, low, high, size.astype(np.int32), (np.searchsorted(chunk.off, start + begin, "right") - 1).astype(np.int32)))
+            one = np.where(space, np.uint8(32), b[: end - begin])[~space | ~after]
+            joined.append(one.tobytes())
             begin = end
-        self.ids, self.doc = np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int32), *doc])
-        self.hash = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in numbers), np.uint64, len(numbers))[self.ids]
+        self.hash, low, high, size, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.ids, order = self.hash, np.argsort(self.hash)
+        h, low, high, size_ = self.hash[order], low[order], high[order], size[order]
+        other = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (size_[1:] != size_[:-1])
+        if np.any(other & (h[1:] == h[:-1])):
+            again = np.lexsort((size_, high, low))
+            low, high, size_, order = low[again], high[again], size_[again], order[again]
+            self.ids = np.empty(len(order), np.int64)
+            self.ids[order] = np.cumsum(np.append(0, (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (size_[1:] != size_[:-1])))
         self.joined = b"".join(joined)
-        self.off = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]) + 1))
+        self.off = np.append(0, np.cumsum(size + np.int64(1)))
 
 
 def each_chunk(chunks: DataFrame, run: Callable[[Chunk], Iterator[tuple | pa.RecordBatch]], schema: str | StructType, mail: DataFrame | None = None) -> DataFrame:

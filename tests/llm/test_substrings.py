@@ -213,3 +213,25 @@ def test_columns_that_come_along(spark):
     rows = sorted(got.collect())
     assert [r["a.b"] for r in rows] == [dt.datetime(2024, 1, 2, 3, 4, 5, 123456)] * 3 and [r["x`0"] for r in rows] == [7, None, None]
     assert all(r.n_chars == len(r.text) and r.kept == [("k", 1.5)] for r in rows) and len(rows[0].text) > 80 > 20 > len(rows[1].text)
+
+
+def test_words_of_a_chunk(monkeypatch):
+    import zstandard
+
+    from quire.llm import chunks
+
+    rng = random.Random(1)
+    for size, clash in ((5, False), (50, True), (1 << 20, False), (1 << 20, True)):
+        monkeypatch.setattr(chunks, "SEGMENT", size)
+        if clash:
+            monkeypatch.setattr(chunks, "mix64", lambda h: h * np.uint64(0))
+        for _ in range(20):
+            texts = [bytes(rng.choice(b"ab\0 \n\t\x0b\x0c\r  ") for _ in range(rng.randint(0, 60))) + rng.choice([b"", b" abcdefgh", b" abcdefghi", b" " + b"x" * rng.randint(14, 20), "é".encode() * 5]) for _ in range(rng.randint(0, 8))]
+            row = {"chunk": 0, "ids": np.arange(len(texts)).tobytes(), "known": np.ones(len(texts), np.uint8).tobytes(), "sizes": np.array([len(x) for x in texts], np.int64).tobytes(), "body": zstandard.ZstdCompressor().compress(b"\n".join(texts) + b"\n")}
+            w = chunks.Chunk(row).words()
+            want = [(i, x) for i, t in enumerate(texts) for x in t.split()]
+            assert w.doc.tolist() == [i for i, _ in want]
+            assert all(w.joined[w.off[k] : w.off[k + 1] - 1] == x for k, (_, x) in enumerate(want))
+            seen = {}
+            assert all(seen.setdefault(x, w.ids[k]) == w.ids[k] for k, (_, x) in enumerate(want)) and len(set(seen.values())) == len(seen)
+        monkeypatch.undo()
