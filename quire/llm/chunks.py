@@ -194,6 +194,9 @@ class Chunk:
     def text(self, i: int) -> bytes:
         return self.body[self.off[i] : self.off[i] + self.sizes[i]]
 
+    def texts(self) -> list[str]:
+        return [self.text(i).decode() for i in range(len(self.order))]
+
     def extra(self) -> list[pa.Array]:
         """The columns that were carried along."""
         if self._extra is None:

@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.chunks import MAIL_SCHEMA, Chunk, chunk_size, each_chunk, pack, runs, squeeze, unsqueeze
 from quire.llm.common import Scratch
 from quire.llm.latent import _grouped, word_hashes
 
@@ -22,14 +23,19 @@ TOKENS = CLASSES * CLASSES
 SHARED = 1024
 OFFSETS = np.array([-3, -2, -1, 1, 2, 3])
 EMBED, HIDDEN = 12, 32
-#: Share of each partition's tokens that a training round visits.
-TRAIN_SHARE = 1.0
-ROUNDS = 1
-BATCH = 1024
+#: Rounds of training; each visits its own part of the tokens, all of them together every token once.
+ROUNDS = 2
+BATCH = 2048
+#: Bytes of text for each shard of the word counts, about.
+SHARD_BYTES = 1 << 24
 #: Models that are averaged in one task, or on the driver.
 FAN_IN = 32
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 class Vocabulary:
     """Token id of each bucket: ids of the commonest first, dealt over the classes; the rest by hash. The last id is the edge of a text."""
 
@@ -42,15 +48,20 @@ class Vocabulary:
         self.ids = (place % CLASSES * CLASSES + place // CLASSES).astype(np.int32)
         self.edge = TOKENS - 1
         self.share = np.bincount(self.ids, counts + 0.1, minlength=TOKENS)
+        #: Words that each token stands for, one more for all that the corpus doesn't have.
+        self.words = np.bincount(self.ids, counts, minlength=TOKENS) + 1
 
-    def sequence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens with edges around each text, the place of each word in them, and its text's number."""
-        h, doc = word_hashes(texts)
+    def sequence(self, h: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens with edges around each text, and the place of each word of hash h and text doc in them."""
         pad = int(OFFSETS.max())
         at = np.arange(len(h)) + pad * (doc + 1)
-        seq = np.full(len(h) + pad * (len(texts) + 1), self.edge, np.int32)
-        seq[at] = self.ids[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        return seq, at, doc
+        seq = np.full(len(h) + pad * (texts + 1), self.edge, np.int32)
+        seq[at] = self.ids[_bucket(h)]
+        return seq, at
+
+    def inside(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each word among those of its token, by its count in the corpus."""
+        return np.log(np.maximum(counts, 1) / self.words[self.ids[_bucket(h)]])
 
 
 SHAPES = {
@@ -136,24 +147,85 @@ class Network:
             dh[rows] += d @ self.wo[c].T
         dh *= 1 - h * h
         g.w1[:], g.b1[:] = x.T @ dh, dh.sum(axis=0)
-        np.add.at(g.embed, around.ravel(), (dh @ self.w1.T).reshape(-1, EMBED))
+        cell = (around.reshape(-1, 1) * EMBED + np.arange(EMBED)).ravel()
+        g.embed[:] = np.bincount(cell, (dh @ self.w1.T).ravel(), minlength=g.embed.size).reshape(g.embed.shape)
         return g.flat
 
 
-def count_buckets(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each word bucket over all texts."""
+class WordCounts:
+    """Occurrences of every word of a corpus, by 64-bit hash, in a written table of shards."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    SCHEMA = "shard bigint, words binary, counts binary"
+
+    def __init__(self, table: DataFrame, shards: int):
+        self.table, self.shards = table, shards
+
+    @staticmethod
+    def dealt(h: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard with the places of its words in h, distinct hashes."""
+        shard = (h >> np.uint64(16)) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        for s, a, b in zip(*runs(shard[order]), strict=True):
+            yield int(s), order[a:b]
+
+    @classmethod
+    def of(cls, docs: DataFrame, scratch: Scratch) -> WordCounts:
+        """Counts over all texts of docs; a task adds up some texts before it sends their words on."""
+        size = chunk_size(docs)
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(1, -(-total // SHARD_BYTES))
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, texts in _grouped(batches, size):
+                h, n = np.unique(word_hashes(texts)[0], return_counts=True)
+                rows = [(s, squeeze(h[at]), squeeze(n[at].astype(np.uint32))) for s, at in cls.dealt(h, shards)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["shard", "words", "counts"])
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            h = np.concatenate([unsqueeze(b, np.uint64) for b in pdf["words"]])
+            n = np.concatenate([unsqueeze(b, np.uint32) for b in pdf["counts"]])
+            h, at = np.unique(h, return_inverse=True)
+            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "words": [squeeze(h)], "counts": [squeeze(np.bincount(at, n, len(h)).astype(np.int64))]})
+
+        rows = docs.select(F.lit(None).cast("bigint").alias("id"), "text").mapInArrow(send, cls.SCHEMA)
+        return cls(scratch.save(rows.groupBy("shard").applyInPandas(add, cls.SCHEMA), "words"), shards)
+
+    def buckets(self) -> np.ndarray:
+        """Occurrences of each word bucket."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(BUCKETS, np.int64)
+            for batch in batches:
+                for words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    n += np.bincount(_bucket(unsqueeze(words, np.uint64)), unsqueeze(counts, np.int64), BUCKETS).astype(np.int64)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+        rows = self.table.select("words", "counts").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         n = np.zeros(BUCKETS, np.int64)
-        for _, texts in _grouped(batches):
-            n += np.bincount((word_hashes(texts)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+        n[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+        return n
+
+    def told(self, chunks: DataFrame, scratch: Scratch) -> DataFrame:
+        """Mail 'count' for chunks: the counts of a chunk's distinct words, shard by shard, 0 for unknown ones."""
+        shards = self.shards
+
+        def ask(chunk: Chunk) -> Iterator[tuple]:
+            h = np.unique(word_hashes(chunk.texts())[0])
+            for s, at in WordCounts.dealt(h, shards):
+                yield chunk.id, s, squeeze(h[at])
+
+        def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            words, counts = (unsqueeze(known[c].iloc[0], k) if len(known) else np.zeros(0, k) for c, k in (("words", np.uint64), ("counts", np.int64)))
+            data = []
+            for b in asked["words"]:
+                h = unsqueeze(b, np.uint64)
+                at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+                data.append(squeeze(np.where(words[at] == h, counts[at], 0) if len(words) else np.zeros(len(h), np.int64)))
+            return pd.DataFrame({"chunk": asked["chunk"], "kind": "count", "shard": asked["shard"], "data": data})
 
-    rows = docs.select(F.lit(None).cast("bigint").alias("id"), "text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(BUCKETS, np.int64)
-    n[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return n
+        sent = each_chunk(chunks, ask, "chunk bigint, shard bigint, words binary").groupBy("shard")
+        return scratch.save(sent.cogroup(self.table.groupBy("shard")).applyInPandas(answer, MAIL_SCHEMA), "told")
 
 
 def _mean(models: DataFrame, scratch: Scratch, tag: str) -> np.ndarray | None:
@@ -175,15 +247,18 @@ def _mean(models: DataFrame, scratch: Scratch, tag: str) -> np.ndarray | None:
     return sum(x * np.frombuffer(b, np.float32) for x, b in zip(w, rows["model"], strict=True)).astype(np.float32)
 
 
-def train(docs: DataFrame, scratch: Scratch, share: float = TRAIN_SHARE, rounds: int = ROUNDS, rate: float = 0.01) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network from all partitions of docs(text).
+def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS, rate: float = 0.01, batch: int = BATCH) -> tuple[WordCounts, Vocabulary, Network]:
+    """Word counts, vocabulary and network from all partitions of docs(text).
 
     Words are counted over all texts. In each round, every partition of the
-    input trains a copy of the network on a share of its own tokens, drawn
-    from all of them; the copies are averaged, weighted by tokens. The tokens
-    visited and the models gathered grow with the input; a model's size doesn't.
+    input trains a copy of the network on a part of its own tokens, dealt at
+    random: every token is predicted in one of the rounds. The copies are
+    averaged, weighted by tokens. The tokens visited and the models gathered
+    grow with the input; a model's size doesn't. The network, unlike the
+    counts, depends on how the rows are dealt out to partitions.
     """
-    vocabulary = Vocabulary(count_buckets(docs))
+    counts = WordCounts.of(docs, scratch)
+    vocabulary = Vocabulary(counts.buckets())
     net = Network.fresh(vocabulary.share)
     spark = docs.sparkSession
     for turn in range(rounds):
@@ -191,15 +266,16 @@ def train(docs: DataFrame, scratch: Scratch, share: float = TRAIN_SHARE, rounds:
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
-            rng = np.random.default_rng([turn, part])
+            rng = np.random.default_rng(part)
             vocabulary, flat = sent.value
             net = Network(flat.copy())
             m, v, step, seen = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
             for _, texts in _grouped(batches):
-                seq, at, _ = vocabulary.sequence(texts)
-                at = rng.permutation(at[rng.random(len(at)) < share])
-                for s in range(0, len(at), BATCH):
-                    g, step = net.gradient(seq, at[s : s + BATCH]), step + 1
+                h, doc = word_hashes(texts)
+                seq, at = vocabulary.sequence(h, doc, len(texts))
+                at = rng.permutation(at[rng.integers(0, rounds, len(at)) == turn])
+                for s in range(0, len(at), batch):
+                    g, step = net.gradient(seq, at[s : s + batch]), step + 1
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     net.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
@@ -210,28 +286,37 @@ def train(docs: DataFrame, scratch: Scratch, share: float = TRAIN_SHARE, rounds:
         models = docs.select(F.lit(None).cast("bigint").alias("id"), "text").mapInArrow(learn, "part bigint, weight double, model binary")
         mean = _mean(scratch.save(models, f"models-{turn}"), scratch, f"mean-{turn}")
         net = net if mean is None else Network(mean)
-    return vocabulary, net
+    return counts, vocabulary, net
 
 
-def score_documents(docs: DataFrame, model: tuple[Vocabulary, Network]) -> DataFrame:
+def score_documents(docs: DataFrame, model: tuple[WordCounts, Vocabulary, Network], scratch: Scratch) -> DataFrame:
     """(doc_id, n_words, pseudo_log_likelihood, mean_log_probability) for every row of docs(doc_id, text).
 
     Words are runs of letters and digits, lower-cased. Every one of them is
-    masked and predicted from three on each side; the logarithms of the
-    probabilities are summed. Null texts and texts without words have sum 0
-    and a null mean. Rows are independent, so repeats and null ids stay as they
-    come. Extra columns are not looked at.
+    masked and predicted from three on each side: the network gives the
+    probability of its token, and the word's count in the corpus its share of
+    the words of that token, all unknown words together counting as one that
+    occurs once. The logarithms are summed. Null texts and texts without words
+    have sum 0 and a null mean. Rows are independent, so repeats and null ids
+    stay as they come. Extra columns are not looked at.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].flat))
+    counts, vocabulary, net = model
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat))
+    shards, chunks = counts.shards, pack(docs, scratch)
+    mail = counts.told(chunks, scratch)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(chunk: Chunk) -> Iterator[tuple]:
         vocabulary, flat = sent.value
-        net = Network(flat)
-        for ids, texts in _grouped(batches):
-            seq, at, doc = vocabulary.sequence(texts)
-            n = np.bincount(doc, minlength=len(texts))
-            total = np.bincount(doc, net.log_probability(seq, at), minlength=len(texts))
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_words", "pseudo_log_likelihood", "mean_log_probability"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_words bigint, pseudo_log_likelihood double, mean_log_probability double")
+        net, replies = Network(flat), chunk.mail.get("count", [])
+        h, doc = word_hashes(chunk.texts())
+        distinct, which = np.unique(h, return_inverse=True)
+        found = np.zeros(len(distinct), np.int64)
+        for (_, at), b in zip(WordCounts.dealt(distinct, shards), replies, strict=True):
+            found[at] = unsqueeze(b, np.int64)
+        seq, at = vocabulary.sequence(h, doc, len(chunk.order))
+        n = np.bincount(doc, minlength=len(chunk.order))
+        total = np.bincount(doc, net.log_probability(seq, at) + vocabulary.inside(h, found[which]), minlength=len(chunk.order))
+        for i in range(len(chunk.order)):
+            yield int(chunk.order[i]) if chunk.known[i] else None, int(n[i]), float(total[i]), float(total[i] / n[i]) if n[i] else None
+
+    return each_chunk(chunks, run, "doc_id bigint, n_words bigint, pseudo_log_likelihood double, mean_log_probability double", mail)

@@ -79,8 +79,8 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, train(docs, Scratch(spark, "op10")))
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "op10")
+    return score_documents(docs, train(docs, scratch), scratch)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
