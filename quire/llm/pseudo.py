@@ -22,10 +22,12 @@ CLASSES = 64
 TOKENS = CLASSES * CLASSES
 SHARED = 1024
 OFFSETS = np.array([-3, -2, -1, 1, 2, 3])
-EMBED, HIDDEN = 12, 32
+EMBED, HIDDEN = 8, 16
 #: Rounds of training; each visits its own part of the tokens, all of them together every token once.
 ROUNDS = 2
 BATCH = 2048
+#: Logits are held at this, so that their exponents stay finite.
+CEILING = np.float32(40)
 #: Bytes of text for each shard of the word counts, about.
 SHARD_BYTES = 1 << 24
 #: Models that are averaged in one task, or on the driver.
@@ -104,54 +106,85 @@ class Network:
         return around, x, np.tanh(x @ self.w1 + self.b1)
 
     @staticmethod
-    def log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    @staticmethod
-    def by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if cut[c] < cut[c + 1]:
-                yield c, order[cut[c] : cut[c + 1]]
+    def exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits, in place and held at CEILING or less, and its sum by row."""
+        np.exp(np.minimum(z, CEILING, out=z), out=z)
+        return z, z @ np.ones(z.shape[1], z.dtype)
+
+    def by_class(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Places in order of their tokens' classes, the order, and each class with where it begins and ends."""
+        order = np.argsort(seq[at], kind="stable")
+        return at[order], order, list(zip(*(x.tolist() for x in runs(seq[at][order] // CLASSES)), strict=True))
+
+    def logits(self, h: np.ndarray, kind: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+        """Of the tokens in each row's class."""
+        z = self.bo[kind]
+        for c, a, b in classes:
+            z[a:b] += h[a:b] @ self.wo[c]
+        return z
 
     def log_probability(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Logarithm of the probability of each token at the places, given those around it."""
         out = np.zeros(len(at))
-        for s in range(0, len(at), 1 << 15):
-            place = at[s : s + (1 << 15)]
+        for s in range(0, len(at), 1 << 14):
+            place, order, classes = self.by_class(seq, at[s : s + (1 << 14)])
             h = self.forward(seq, place)[2]
             kind, inner = np.divmod(seq[place], CLASSES)
-            part = self.log_softmax(h @ self.wc + self.bc)[np.arange(len(place)), kind].astype(np.float64)
-            for c, rows in self.by_class(kind):
-                part[rows] += self.log_softmax(h[rows] @ self.wo[c] + self.bo[c])[np.arange(len(rows)), inner[rows]]
-            out[s : s + (1 << 15)] = part
+            rows = np.arange(len(place))
+            z, total = self.exponents(h @ self.wc + self.bc)
+            p = z[rows, kind].astype(np.float64) / total
+            z, total = self.exponents(self.logits(h, kind, classes))
+            out[s + order] = np.log(np.maximum(p * z[rows, inner] / total, 1e-300))
         return out
 
     def gradient(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability of the tokens at the places."""
         g = Network(np.zeros_like(self.flat))
+        at, _, classes = self.by_class(seq, at)
         around, x, h = self.forward(seq, at)
         kind, inner = np.divmod(seq[at], CLASSES)
-        d = np.exp(self.log_softmax(h @ self.wc + self.bc))
-        d[np.arange(len(at)), kind] -= 1
-        d /= len(at)
-        g.wc[:], g.bc[:] = h.T @ d, d.sum(axis=0)
+        rows, one = np.arange(len(at)), np.ones(len(at), h.dtype)
+        d, total = self.exponents(h @ self.wc + self.bc)
+        d *= (1 / (total * len(at)))[:, None]
+        d[rows, kind] -= 1 / len(at)
+        g.wc[:], g.bc[:] = h.T @ d, one @ d
         dh = d @ self.wc.T
-        for c, rows in self.by_class(kind):
-            d = np.exp(self.log_softmax(h[rows] @ self.wo[c] + self.bo[c]))
-            d[np.arange(len(rows)), inner[rows]] -= 1
-            d /= len(at)
-            g.wo[c], g.bo[c] = h[rows].T @ d, d.sum(axis=0)
-            dh[rows] += d @ self.wo[c].T
+        d, total = self.exponents(self.logits(h, kind, classes))
+        d *= (1 / (total * len(at)))[:, None]
+        d[rows, inner] -= 1 / len(at)
+        for c, a, b in classes:
+            part = d[a:b]
+            g.wo[c], g.bo[c] = h[a:b].T @ part, one[a:b] @ part
+            dh[a:b] += part @ self.wo[c].T
         dh *= 1 - h * h
-        g.w1[:], g.b1[:] = x.T @ dh, dh.sum(axis=0)
-        cell = (around.reshape(-1, 1) * EMBED + np.arange(EMBED)).ravel()
+        g.w1[:], g.b1[:] = x.T @ dh, one @ dh
+        cell = (around.reshape(-1, 1) * EMBED + np.arange(EMBED, dtype=np.int32)).ravel()
         g.embed[:] = np.bincount(cell, (dh @ self.w1.T).ravel(), minlength=g.embed.size).reshape(g.embed.shape)
         return g.flat
 
 
+class Adam:
+    """Steps down a gradient, by its running mean and size."""
+
+    def __init__(self, size: int, rate: float):
+        self.m, self.v, self.room, self.step, self.rate = np.zeros(size, np.float32), np.zeros(size, np.float32), np.empty(size, np.float32), 0, rate
+
+    def move(self, flat: np.ndarray, g: np.ndarray) -> None:
+        self.step += 1
+        self.m *= np.float32(0.9)
+        self.m += np.multiply(g, np.float32(0.1), out=self.room)
+        self.v *= np.float32(0.99)
+        np.multiply(g, g, out=g)
+        g *= np.float32(0.01)
+        self.v += g
+        size = np.sqrt(self.v, out=self.room)
+        size *= np.float32(1 / np.sqrt(1 - 0.99**self.step))
+        size += np.float32(1e-6)
+        np.divide(self.m, size, out=size)
+        size *= np.float32(self.rate / (1 - 0.9**self.step))
+        flat -= size
+
+
 class WordCounts:
     """Occurrences of every word of a corpus, by 64-bit hash, in a written table of shards."""
 
@@ -269,16 +302,13 @@ def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS, rate: float =
             rng = np.random.default_rng(part)
             vocabulary, flat = sent.value
             net = Network(flat.copy())
-            m, v, step, seen = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
+            adam, seen = Adam(len(flat), rate), 0
             for _, texts in _grouped(batches):
                 h, doc = word_hashes(texts)
                 seq, at = vocabulary.sequence(h, doc, len(texts))
                 at = rng.permutation(at[rng.integers(0, rounds, len(at)) == turn])
                 for s in range(0, len(at), batch):
-                    g, step = net.gradient(seq, at[s : s + batch]), step + 1
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    net.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+                    adam.move(net.flat, net.gradient(seq, at[s : s + batch]))
                 seen += len(at)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(seen)]), pa.array([net.flat.tobytes()], pa.binary())], ["part", "weight", "model"])

@@ -116,4 +116,4 @@ def test_a_text_that_occurs_twice_scores_higher(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     scratch = Scratch(spark, "t")
     got = {r.doc_id: r.mean_log_probability for r in score_documents(df, train(df, scratch), scratch).collect()}
-    assert sum(got[i] > np.median([got[k] for k in range(60, 120)]) for i in range(60)) > 50
+    assert np.mean([got[i] for i in range(60)]) > np.mean([got[k] for k in range(60, 120)]) + 0.05
