@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that go to a Python worker at once.
@@ -32,7 +33,8 @@ def _give_memory_back() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-_give_memory_back()
+if TaskContext.get() is not None:  # in a worker; the driver's process is its owner's
+    _give_memory_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +65,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quire.scratch.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="quire-")
             spark.conf.set("quire.scratch.dir", base)
-        # Texts are long: batches of a few hundred rows keep what executors and their workers hold small.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        # Texts are long: batches of a few hundred rows keep what executors and their workers hold small. A session that has its own number keeps it.
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark, self.root = spark, f"{base}/{name}-{uuid.uuid4().hex}"
         _ROOTS.append((spark, self.root))
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import Scratch
 
 #: Lengths of word beginnings; where two distinct words of a text share one, that is a feature too.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -37,9 +38,14 @@ def smallest_hashes(ids: DataFrame, n: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(text, cls) for chosen(doc_id, cls), a bounded sample of ids: that is broadcast, so that no text is shuffled."""
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "cls")), "doc_id").select("text", "cls")
+def texts_of(docs: DataFrame, chosen: DataFrame, scratch: Scratch) -> DataFrame:
+    """(text, cls), written, for chosen(doc_id, cls), a bounded sample of ids: one text for each, that of smallest hash where rows repeat an id.
+
+    The ids are broadcast, so that no text but those of the sample is moved;
+    the hashes of an id's rows are reduced before the shuffle.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "cls")), "doc_id").groupBy("doc_id", "cls").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
+    return scratch.save(rows.select("text", "cls"), "sample")
 
 
 def _sums(total: Counter) -> pa.RecordBatch:

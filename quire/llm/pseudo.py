@@ -25,7 +25,7 @@ OFFSETS = np.array([-3, -2, -1, 1, 2, 3])
 EMBED, HIDDEN = 8, 16
 #: Rounds of training; each visits its own part of the tokens, all of them together every token once.
 ROUNDS = 2
-BATCH = 2048
+BATCH = 4096
 #: Logits are held at this, so that their exponents stay finite.
 CEILING = np.float32(40)
 #: Bytes of text for each shard of the word counts, about.

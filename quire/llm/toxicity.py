@@ -59,7 +59,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, positive_
         return Present([], np.zeros((0,))), -20.0
     toxic = smallest_hashes(ids.join(known.where("toxic = 1").select("doc_id"), "doc_id"), positive_rows).withColumn("cls", F.lit("p"))
     some = smallest_hashes(ids, unlabelled_rows).withColumn("cls", F.lit("u"))
-    sample = scratch.save(texts_of(docs, scratch.save(toxic.unionByName(some), "ids")), "sample")
+    sample = texts_of(docs, scratch.save(toxic.unionByName(some), "ids"), scratch)
     chosen = telling_features(sample, ["p"], keep)
     x, cls = dense(sample, chosen)
     is_p = np.array(cls) == "p"

@@ -4,7 +4,7 @@ import numpy as np
 
 from quire.llm.common import Scratch
 from quire.llm.languages import PENALTY, Mixture, fit_languages, grams, held_out, identify_languages
-from quire.llm.mixing import _rates, fit_rates, fit_softmax, mixing_rates
+from quire.llm.mixing import fit_rates, fit_softmax, mixing_rates, rates_of
 from quire.llm.toxicity import fit_nnpu, fit_toxicity, score_toxicity, without_toxic
 
 SYLLABLES = {"aa": ["ka", "to", "mi", "re"], "bb": ["sch", "ung", "ei", "ß"], "cc": ["ción", "ñe", "ll", "os"]}
@@ -108,9 +108,8 @@ def test_rates_meet_targets(spark):
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
     for share in ([0.2, 0.3, 0.5], [0.8, 0.1, 0.1], [0.05, 0.05, 0.9]):
         goal = np.array(share) * n.sum()
-        steps, miss = fit_rates(df, goal)
-        r = _rates(p, steps)[0]
-        reached = (n * r) @ p
+        pull, miss = fit_rates(df, goal)
+        reached = (n * rates_of(p, pull)) @ p
         assert np.isclose(np.abs(reached - goal).max() / goal.sum(), miss, atol=1e-9)
         # A long plain descent does hardly better.
         inverse = np.linalg.inv((p * n[:, None]).T @ p)
@@ -136,7 +135,8 @@ def test_mixing(spark):
     by = {r.doc_id: r.domain for r in got}
     assert np.mean([by[i] == lang for i, _, lang in rows[:300] if i % 2 == 0]) > 0.9
     carried = mixing_rates(df, labels, targets, Scratch(spark, "t"), carry=["rate", "text", "doc_id"])
-    assert carried.columns == ["rate", "text", "doc_id", "n_tokens", "domain", "posterior", "rate"]
+    assert carried.columns == ["rate", "text", "doc_id", "n_tokens", "domain", "posterior", "rate", "miss"]
+    assert all(r.miss < 1e-6 for r in got)
     none = mixing_rates(df, labels.limit(0), targets, Scratch(spark, "t")).collect()
     assert {r.rate for r in none} == {1.0} and {r.domain for r in none} == {None}
     assert mixing_rates(df.limit(0), labels, targets, Scratch(spark, "t")).count() == 0
@@ -145,5 +145,60 @@ def test_mixing(spark):
 def test_single_letters_have_a_language(spark):
     df = spark.createDataFrame([(0, "a cat is a pet", "aa"), (1, "ung sch ei", "bb")], "doc_id long, text string, lang string")
     model = fit_languages(df)
-    assert all(model.infer(t)[0] in ("aa", "bb") for t in ("a", "A 1", "1 b 2"))
+    assert all(model.infer(t)[0] in ("aa", "bb") for t in ("a", "I", "A 1", "1 a 2", "1 b 2", "中", "é"))
     assert all(model.infer(t)[0] == "und" for t in (None, "", "1 2 !"))
+
+
+def test_targets_out_of_reach(spark):
+    rng = np.random.default_rng(8)
+    p = np.stack([np.linspace(0.3, 0.6, 400), np.linspace(0.7, 0.4, 400)], axis=1)
+    n = rng.integers(0, 500, 400)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    goal = np.array([0.9, 0.1]) * n.sum()
+    pull, miss = fit_rates(df, goal)
+    reached = (n * rates_of(p, pull)) @ p
+    # The nearest that any mixture comes is all tokens from the document that leans most to the first domain.
+    inverse = np.linalg.inv((p * n[:, None]).T @ p)
+    best = min(float((x - goal) @ inverse @ (x - goal)) for x in (f * p[n > 0][-1] * n.sum() for f in np.linspace(0, 3, 3001)))
+    assert miss > 0.1 and float((reached - goal) @ inverse @ (reached - goal)) <= best * 1.01
+
+
+def test_repeated_ids_give_one_text(spark, tmp_path):
+    from quire.llm.features import texts_of
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, None), (3, "x")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, "p"), (2, "u"), (1, "u")], "doc_id long, cls string")
+    assert sorted((r.cls, r.text is None) for r in texts_of(docs, chosen, Scratch(spark, "t")).collect()) == [("p", False), ("u", False), ("u", True)]
+
+
+def test_nnpu_steps_follow_the_risk():
+    """A step of the fit is recomputed from the risk by numeric differences, on both sides of the correction."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((60, 5)) < 0.4).astype(np.float32)
+    p, u = x[:20], x[20:]
+
+    def risk(w, b, prior):
+        plus = np.logaddexp(0, -(p @ w + b)).mean()
+        minus = np.logaddexp(0, u @ w + b).mean() - prior * np.logaddexp(0, p @ w + b).mean()
+        return prior * plus + minus if minus >= 0 else -minus
+
+    for prior in (0.2, 0.95):
+        w, b = np.zeros(5), np.log(prior / (1 - prior))
+        side = np.logaddexp(0, u @ w + b).mean() - prior * np.logaddexp(0, p @ w + b).mean()
+        got, bias = fit_nnpu(p, u, prior, rounds=1, decay=0.0, rate=1.0)
+        g = [(risk(w + e, b, prior) - risk(w - e, b, prior)) / 2e-5 for e in np.eye(5) * 1e-5]
+        # The first step of Adam has the gradient's sign and the rate's size.
+        assert np.array_equal(np.sign(got), -np.sign(np.round(g, 9))), (prior, side)
+        assert np.sign(bias - b) == -np.sign(risk(w, b + 1e-5, prior) - risk(w, b - 1e-5, prior))
+
+
+def test_present_sums_what_features_gives():
+    from quire.llm.features import Present, features
+
+    rng = random.Random(9)
+    texts = [say(rng, k, rng.randint(0, 30)) for k in SYLLABLES for _ in range(20)] + [None, "", "Ab, ab! abc abcd abcde"]
+    chosen = sorted({f for t in texts for f in features(t)})[::3]
+    weights = np.arange(1, len(chosen) + 1, dtype=float)
+    present = Present(chosen, weights)
+    for t in texts:
+        assert present.total(t) == sum(w for f, w in zip(chosen, weights, strict=True) if f in set(features(t)))
