@@ -99,23 +99,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_suffix_array": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS j FROM d),
-s AS (SELECT doc_id, j, substr(h, 2 * j + 1, 200) AS k FROM b WHERE 2 * j + 200 <= length(h)),
-f AS (SELECT k, min((doc_id, j)) AS f FROM s GROUP BY k HAVING count(*) > 1),
-bad AS (SELECT doc_id, j, true AS bad FROM s JOIN f USING (k) WHERE f < (doc_id, j)),
-c AS (
-  SELECT doc_id, j, substr(h, 2 * j + 1, 2) AS x,
-    count(bad) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 0 AS gone
-  FROM b LEFT JOIN bad USING (doc_id, j)
-), e AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY j) AS first FROM c),
-g AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans,
-    sha256(unhex(coalesce(string_agg(x, '' ORDER BY j) FILTER (NOT gone), ''))) AS kept_sha256
-  FROM e GROUP BY doc_id
+p AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2198) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 1000)) AS base FROM d)),
+s AS (
+  SELECT doc_id, base + i AS j, hash(substr(part, 2 * i + 1, 200)) AS k
+  FROM (SELECT doc_id, base, part, unnest(range(least(1000, length(part) // 2 - 99))) AS i FROM p)
+), twice AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+v AS (SELECT s.doc_id, j, substr(part, 2 * (j - base) + 1, 200) AS w FROM s JOIN twice USING (k) JOIN p ON p.doc_id = s.doc_id AND p.base = j - j % 1000),
+f AS (SELECT w, min((doc_id, j)) AS f FROM v GROUP BY w HAVING count(*) > 1),
+bad AS (SELECT doc_id, j, coalesce(j > 100 + lag(j) OVER (PARTITION BY doc_id ORDER BY j), true) AS fresh FROM v JOIN f USING (w) WHERE f < (doc_id, j)),
+island AS (
+  SELECT doc_id, min(j) AS a, max(j) + 100 AS b
+  FROM (SELECT doc_id, j, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY j) AS run FROM bad) GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS before, a, b,
+    CASE WHEN lead(a) OVER w IS NULL THEN substr(h, 2 * b + 1) ELSE '' END AS after
+  FROM island JOIN d USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+), g AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, sha256(unhex(string_agg(before || after, '' ORDER BY a))) AS kept_sha256 FROM kept GROUP BY doc_id
 )
-SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
-  coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
-FROM d LEFT JOIN g USING (doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  coalesce(kept_sha256, sha256(encode(coalesce(text, '')))) AS kept_sha256
+FROM d JOIN documents USING (doc_id) LEFT JOIN g USING (doc_id)
 """,
     "op7_embedding_groups": """
 WITH RECURSIVE v AS (
