@@ -41,11 +41,11 @@ def sample(s: str, limit: int = 64) -> str:
 
 def collapse_html(s: str) -> str:
     """Runs of HTML white space become one space; a no-break space is content."""
-    return trim(re.sub("[ \t\n\r\f]+", " ", s))
+    return re.sub("[ \t\n\r\f]+", " ", s).strip(" ")
 
 
 def collapse_xml(s: str) -> str:
-    return trim(re.sub("[ \t\n\r]+", " ", s))
+    return re.sub("[ \t\n\r]+", " ", s).strip(" ")
 
 
 def fnv1a64(data: bytes) -> str:

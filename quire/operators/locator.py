@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 #: Characters of a locator's highlight and of its context, and how far a repair looks around. Fixed values.
@@ -67,24 +69,30 @@ def find_all(texts: DataFrame, query: str, case_sensitive: bool = True) -> DataF
     """(key, at, locator) of every place, not overlapping, where texts(key, text) hold the query."""
     if not query:
         raise ValueError("empty query")
-    schema = f"key {texts.schema['key'].dataType.simpleString()}, at bigint"
+    schema = StructType([StructField("key", texts.schema["key"].dataType), *StructType.fromDDL("at bigint, of bigint, before string, highlight string, after string").fields])
+    kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = query if case_sensitive else query.lower()
         for batch in batches:
-            keys, places = [], []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            whose, rows = [], []
+            for k, text in enumerate(batch.column(1)):
                 t = text.as_py() or ""
                 folded = t if case_sensitive else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
                 at = folded.find(q)
                 while at >= 0:
-                    keys.append(key.as_py())
-                    places.append(at)
-                    at = folded.find(q, at + len(q))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(places, pa.int64())], ["key", "at"])
+                    end = at + len(q)
+                    whose.append(k)
+                    rows.append((at, len(t), t[max(0, at - CONTEXT) : at], t[at : min(end, at + HIGHLIGHT)], t[end : end + CONTEXT]))
+                    at = folded.find(q, end)
+            if rows:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(kinds)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), *columns], schema.names)
 
     found = texts.select("key", "text").mapInArrow(run, schema)
-    return found.join(texts.select("key", "text"), "key").select("key", "at", locator(F.col("text"), F.col("at"), F.col("at") + len(query), F.col("key").cast("string")).alias("locator"))
+    place = F.struct(F.col("at").alias("charOffset"), (F.col("at") / F.greatest("of", F.lit(1))).alias("progression"))
+    said = F.to_json(F.struct(F.col("key").cast("string").alias("href"), place.alias("locations"), F.struct("before", "highlight", "after").alias("text")))
+    return found.select("key", "at", said.alias("locator"))
 
 
 def repair(text: str, offset: int, before: str, highlight: str, after: str) -> tuple[int, float]:

@@ -8,10 +8,12 @@ shuffle; windows are used within bounded buckets only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.scratch import saved
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows with equal keys (nulls are equal) the first in order."""
@@ -67,21 +69,23 @@ def priority_join(left: DataFrame, right: DataFrame, keys: list[Column], found:
     return left.join(best, "lid", "left")
 
 
-def fallback_chain(spark: SparkSession, items: str, steps: int = 16) -> DataFrame:
-    """(id, content) for every row of the view items(id, fallback, renderable): the first renderable item along its fallbacks.
+def fallback_chain(items: DataFrame, steps: int = 16) -> DataFrame:
+    """(id, content) for every row of items(id, fallback, renderable): the first renderable item along its fallbacks.
 
-    Null if a chain ends, comes back to an item or takes more than steps.
+    Null if a chain ends, comes back to an item or takes more than steps. A
+    step is one join of the walks that are still open, which are written, so
+    that none is done twice; a null renderable is false. id is unique.
     """
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, at, renderable, next, seen, step) AS (
-          SELECT id, id, renderable, fallback, array(id), 0 FROM {items}
-          UNION ALL
-          SELECT w.start, i.id, i.renderable, i.fallback, array_append(w.seen, i.id), w.step + 1
-          FROM walk w JOIN {items} i ON i.id = w.next
-          WHERE NOT w.renderable AND w.step < {steps} AND NOT array_contains(w.seen, i.id)
-        )
-        SELECT start AS id, min(CASE WHEN renderable THEN at END) AS content FROM walk GROUP BY start
-    """)
+    table = items.select(F.col("id").alias("at"), F.col("fallback").alias("next_"), F.coalesce("renderable", F.lit(False)).alias("ok"))
+    walks = table.select(F.col("at").alias("start"), "at", "next_", "ok")
+    found = walks.where("ok").select("start", F.col("at").alias("content"))
+    for _ in range(steps):
+        onward = walks.where("not ok and next_ is not null").select("start", F.col("next_").alias("at"))
+        walks = saved(onward.join(table, "at").select("start", "at", "next_", "ok"))
+        if walks.isEmpty():
+            break
+        found = found.unionByName(walks.where("ok").select("start", F.col("at").alias("content")))
+    return items.select("id").join(found, F.col("id") == F.col("start"), "left").select("id", "content")
 
 
 def uncovered(items: DataFrame, entries: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
@@ -95,7 +99,8 @@ def uncovered(items: DataFrame, entries: DataFrame, keys: list[tuple[str, str]])
 def running_sum(rows: DataFrame, group: str, order: str, value: str, out: str, width: int = 4096) -> DataFrame:
     """rows with ``out``, the sum of value over rows of the group that come before.
 
-    order is an integer without repeats in a group. Rows are summed in buckets
+    order is an integer without repeats in a group; a null group is one group,
+    a null order comes first. Rows are summed in buckets
     of width orders first, so that no task holds a whole group: the window over
     a group runs over its bucket sums, and that over rows inside one bucket.
     """
@@ -103,7 +108,8 @@ def running_sum(rows: DataFrame, group: str, order: str, value: str, out: str, w
     before = Window.partitionBy(group).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     sums = bucketed.groupBy(group, "bucket_").agg(F.sum(value).alias("sum_")).select(group, "bucket_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("base_"))
     inside = Window.partitionBy(group, "bucket_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = bucketed.join(sums.withColumnRenamed(group, "group_"), (F.col(group) == F.col("group_")) & (bucketed["bucket_"] == sums["bucket_"])).drop(sums["bucket_"])
+    sums = sums.select(F.col(group).alias("group_"), F.col("bucket_").alias("in_"), "base_")
+    joined = bucketed.join(sums, F.col(group).eqNullSafe(F.col("group_")) & F.col("bucket_").eqNullSafe(F.col("in_"))).drop("in_")
     return joined.withColumn(out, F.col("base_") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("bucket_", "base_", "group_")
 
 
@@ -150,13 +156,22 @@ def greedy_overlaps(rows: DataFrame, group: str) -> DataFrame:
 
 
 def run_segments(spans: DataFrame, group: str) -> DataFrame:
-    """(group, lo, hi, attrs): the text between neighbouring boundaries of spans(lo, hi, attr), with the bits of all spans over it."""
-    bounds = spans.select(group, F.explode(F.array("lo", "hi")).alias("lo")).distinct()
-    w = Window.partitionBy(group).orderBy("lo")
-    cut = bounds.withColumn("hi", F.lead("lo").over(w)).where("hi is not null")
-    s = spans.select(F.col(group).alias("g_"), F.col("lo").alias("l_"), F.col("hi").alias("h_"), "attr")
-    over = cut.join(s, (cut[group] == F.col("g_")) & (F.col("l_") <= F.col("lo")) & (F.col("h_") >= F.col("hi")))
-    return over.groupBy(group, "lo", "hi").agg(F.bit_or("attr").alias("attrs"))
+    """(group, lo, hi, attrs): the text between neighbouring boundaries of spans(lo, hi, attr), with the bits of all spans over it.
+
+    A sweep: every boundary says which bits begin or end there, running counts
+    of each bit tell which are on. attr has bits 0 to 30; text under no span is
+    left out.
+    """
+    ends = F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("by")), F.struct(F.col("hi").alias("at"), F.lit(-1).alias("by")))
+    bits = [F.sum(F.when(F.col("attr").bitwiseAND(1 << k) != 0, F.col("by")).otherwise(0)).alias(f"d{k}") for k in range(31)]
+    edges = spans.where("hi > lo").select(group, "attr", F.explode(ends).alias("e")).select(group, "attr", "e.at", "e.by").groupBy(group, "at").agg(*bits)
+    w = Window.partitionBy(group).orderBy("at")
+    on = [F.when(F.sum(f"d{k}").over(w) > 0, 1 << k).otherwise(0) for k in range(31)]
+    attrs = on[0]
+    for x in on[1:]:
+        attrs = attrs.bitwiseOR(x)
+    cut = edges.select(group, F.col("at").alias("lo"), F.lead("at").over(w).alias("hi"), attrs.cast(spans.schema["attr"].dataType).alias("attrs"))
+    return cut.where("hi is not null and attrs <> 0")
 
 
 def occurrences(docs: DataFrame, query: str, *, case_sensitive: bool = True) -> DataFrame:

@@ -112,8 +112,8 @@ SELECT start AS id, min(CASE WHEN ok THEN id END) AS content FROM w GROUP BY sta
 def fallback_chain(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     n = p.count()
-    p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 > 0, (F.col("p_partkey") * 7 + F.col("p_size")) % n).alias("fallback"), (F.col("p_size") % 10 == 0).alias("renderable")).createOrReplaceTempView("chain_items")
-    return R.fallback_chain(spark, "chain_items")
+    items = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 > 0, (F.col("p_partkey") * 7 + F.col("p_size")) % n).alias("fallback"), (F.col("p_size") % 10 == 0).alias("renderable"))
+    return R.fallback_chain(items)
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
@@ -153,8 +153,8 @@ WINDOW p AS (PARTITION BY source), w AS (PARTITION BY source ORDER BY doc_id ROW
 """.replace("(sum(n_chars) OVER w)::BIGINT AS before", "coalesce(sum(n_chars) OVER w, 0)::BIGINT AS before").replace("sum(n_chars) OVER w / sum", "coalesce(sum(n_chars) OVER w, 0) / sum"))
 def progress(spark, sf_dir):
     d = _sized(spark, sf_dir)
-    total = d.groupBy("source").agg(F.sum("n_chars").alias("total"))
-    return R.running_sum(d, "source", "doc_id", "n_chars", "before").join(total, "source").select("source", "doc_id", "before", "n_chars", F.when(F.col("total") > 0, F.col("before") / F.col("total")).alias("progress"))
+    total = d.groupBy(F.col("source").alias("of")).agg(F.sum("n_chars").alias("total"))
+    return R.running_sum(d, "source", "doc_id", "n_chars", "before").join(total, F.col("source").eqNullSafe(F.col("of"))).select("source", "doc_id", "before", "n_chars", F.when(F.col("total") > 0, F.col("before") / F.col("total")).alias("progress"))
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:

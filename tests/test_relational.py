@@ -25,8 +25,35 @@ def test_containing(spark):
 
 
 def test_fallback_chain(spark):
-    spark.createDataFrame([("a", "b", False), ("b", "a", False), ("c", "d", False), ("d", None, True), ("e", "x", False), ("f", None, True)], "id string, fallback string, renderable boolean").createOrReplaceTempView("chain_test")
-    assert {r.id: r.content for r in R.fallback_chain(spark, "chain_test").collect()} == {"a": None, "b": None, "c": "d", "d": "d", "e": None, "f": "f"}
+    items = spark.createDataFrame([("a", "b", False), ("b", "a", False), ("c", "d", False), ("d", None, True), ("e", "x", False), ("f", None, True), ("g", "c", None)], "id string, fallback string, renderable boolean")
+    assert {r.id: r.content for r in R.fallback_chain(items).collect()} == {"a": None, "b": None, "c": "d", "d": "d", "e": None, "f": "f", "g": "d"}
+    chain = spark.range(20).select("id", (F.col("id") + 1).alias("fallback"), (F.col("id") == 19).alias("renderable"))
+    assert {r.id: r.content for r in R.fallback_chain(chain).collect()} == {i: 19 if i >= 3 else None for i in range(20)}
+
+
+def test_fallback_chain_of_many_items(spark):
+    items = spark.range(2_000_000).select("id", F.when(F.col("id") % 4 > 0, F.col("id") - 1).alias("fallback"), (F.col("id") % 4 == 0).alias("renderable"))
+    assert R.fallback_chain(items).where("content = id - id % 4").count() == 2_000_000
+
+
+def test_running_sum_keeps_null_groups(spark):
+    rows = [("a", 1, 5), (None, 2, 7), (None, 9, 1), ("a", None, 3)]
+    got = R.running_sum(spark.createDataFrame(rows, "g string, i long, v long"), "g", "i", "v", "before", width=4).collect()
+    assert {(r.g, r.i): r.before for r in got} == {("a", None): 0, ("a", 1): 3, (None, 2): 0, (None, 9): 7}
+
+
+def test_segments_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(g, lo := rng.randint(0, 40), lo + rng.randint(0, 15), 1 << rng.randint(0, 4)) for g in "abc" for _ in range(12)]
+    got = {(r.g, r.lo, r.hi): r.attrs for r in R.run_segments(spark.createDataFrame(rows, "g string, lo int, hi int, attr int"), "g").collect()}
+    for g in "abc":
+        own = [r for r in rows if r[0] == g and r[2] > r[1]]
+        cuts = sorted({x for r in own for x in r[1:3]})
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            attrs = 0
+            for _, a, b, bit in own:
+                attrs |= bit if a <= lo and b >= hi else 0
+            assert got.get((g, lo, hi), 0) == attrs
 
 
 def test_rollups(spark):
