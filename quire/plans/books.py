@@ -63,7 +63,7 @@ def epub_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zip_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = B.read_resources(made_books(spark, sf_dir)).where("path like 'OEBPS/Text/%'")
-    return r.select("book_id", "path", "crc_ok", F.length("bytes").cast("bigint").alias("size"), F.crc32("bytes").alias("crc"))
+    return r.select("book_id", "path", "crc_ok", F.length("bytes").cast("bigint").alias("size"), F.sha2("bytes", 256).alias("sha256"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,12 @@ ORACLES: dict[str, str] = {
     "epub_spine": f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) - 1 AS pos, path, true AS linear FROM ({_BOOKS})",
     "epub_toc": f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) - 1 AS root_ord, CASE WHEN doc_id % 2 = 0 THEN 'Doc ' || doc_id ELSE 'c' || doc_id END AS title, path, doc_id % 2 <> 0 AS synthesized FROM ({_BOOKS})",
     "epub_diagnostics": f"SELECT book_id, 'tocReconciled' AS code, 'info' AS severity, count(*) AS orphans FROM ({_BOOKS}) WHERE doc_id % 2 <> 0 GROUP BY book_id",
+    "zip_crc": f"""
+SELECT book_id, path, true AS crc_ok, octet_length(bytes)::BIGINT AS size, sha256(bytes) AS sha256 FROM (
+  SELECT book_id, path, encode('<html xmlns="http://www.w3.org/1999/xhtml"><head><meta charset="utf-8"/><title>' || doc_id || '</title></head><body><p>' ||
+    replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</p><p>') || '</p></body></html>') AS bytes
+  FROM ({_BOOKS}))
+""",
     "html_headings": r"SELECT page_id, 1::BIGINT AS n, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '[ \t\n\r\f]+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&') AS heading FROM pages",
     "href_normalize": r"""
 SELECT page_id, ord, CASE WHEN regexp_matches(raw, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') OR contains(raw, ':') THEN NULL ELSE regexp_replace(regexp_replace(raw, '[#?].*$', ''), '^/', '') END AS path

@@ -50,7 +50,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("section"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "t"))
     n = F.greatest(F.lit(1), F.ceil(F.length("t") / 60)).cast("int")
     kind = F.when(F.length("t") < 12, "heading").otherwise("paragraph")
-    return d.select("section", "block", kind.alias("kind"), F.explode(F.sequence(F.lit(0), n - 1)).alias("line_in_block")).select("section", (F.col("block") * 100_000 + F.col("line_in_block")).alias("line"), "block", "line_in_block", "kind", F.lit(1.0).alias("height"), F.lit(False).alias("break_before"))
+    return d.select("section", "block", kind.alias("kind"), F.explode(F.sequence(F.lit(0), n - 1)).alias("line_in_block")).select("section", (F.col("block") * F.lit(1 << 32) + F.col("line_in_block")).alias("line"), "block", "line_in_block", "kind", F.lit(1.0).alias("height"), F.lit(False).alias("break_before"))
 
 
 def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +114,45 @@ SELECT align, weight, step, round(CASE WHEN em IS NOT NULL THEN greatest(-4, lea
     "css_rules": "SELECT page_id, unnest(range(n)) AS sheet, 'margin-' || side AS property, 'em 0.0' AS value, 'tag:p' AS bucket, 1::BIGINT AS specificity FROM (SELECT page_id, len(regexp_extract_all(html, '<style>p\\{margin:0\\}</style>')) AS n, unnest(['top', 'right', 'bottom', 'left']) AS side FROM pages)",
     "css_computed": "SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs, len(regexp_extract_all(html, '<p>'))::BIGINT AS styled, len(regexp_extract_all(html, '<h1>'))::BIGINT AS headings, len(regexp_extract_all(html, '<li>'))::BIGINT AS items FROM pages",
     "pagination_coverage": f"SELECT doc_id AS section, sum(greatest(1, ceil(length(t) / 60)))::BIGINT AS lines, true AS fits FROM (SELECT doc_id, unnest({_SPLIT}) AS t FROM documents) GROUP BY doc_id",
+    "pagination": f"""
+WITH RECURSIVE b AS (
+  SELECT doc_id AS section, block, greatest(1, ceil(length(t) / 60))::INT AS n, length(t) < 12 AS heading
+  FROM (SELECT doc_id, unnest({_SPLIT}) AS t, unnest(range(len({_SPLIT}))) AS block FROM documents)
+), s AS (
+  SELECT *, (sum(n) OVER w)::INT - n AS first, lag(heading, 1, false) OVER (PARTITION BY section ORDER BY block) AS after FROM b WINDOW w AS (PARTITION BY section ORDER BY block)
+), l AS (
+  SELECT section, first + i AS line, CASE WHEN i = 0 THEN NOT after ELSE NOT heading AND i >= 2 AND n - i >= 2 END AS ok
+  FROM (SELECT *, unnest(range(n))::INT AS i FROM s)
+), k AS (
+  SELECT section, line, max(CASE WHEN ok THEN line END) OVER (PARTITION BY section ORDER BY line) AS legal FROM l
+), e AS (SELECT section, sum(n)::INT AS lines FROM b GROUP BY section),
+p AS (
+  SELECT section, -1 AS page, 0 AS first_line, 0 AS end_line FROM e
+  UNION ALL
+  SELECT p.section, page + 1, end_line, CASE WHEN end_line + 30 >= lines THEN lines WHEN k.legal > end_line THEN k.legal ELSE end_line + 30 END
+  FROM p JOIN e USING (section) LEFT JOIN k ON k.section = p.section AND k.line = p.end_line + 30 WHERE end_line < lines
+)
+SELECT section, page, first_line, end_line FROM p WHERE page >= 0
+""",
+    "table_grid": """
+WITH RECURSIVE c AS (
+  SELECT l_orderkey AS table_id, l_linenumber % 3 AS r, l_linenumber AS o, (max(l_quantity)::INT % 3 + 1)::INT AS w, (max(l_partkey) % 3 + 1)::INT AS h FROM lineitem GROUP BY ALL
+), n AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY r, o) AS k, max(r) OVER (PARTITION BY table_id) AS last FROM c),
+g AS (
+  SELECT table_id, 0::BIGINT AS k, []::INT[] AS taken, NULL::INT AS r, NULL::INT AS o, NULL::INT AS col, NULL::INT AS w, NULL::INT AS h FROM (SELECT DISTINCT table_id FROM c)
+  UNION ALL
+  SELECT table_id, k, list_concat(taken, flatten(list_transform(range(h), lambda y: list_transform(range(w), lambda x: ((r + y) * 1000 + col + x)::INT)))), r, o, col, w, h
+  FROM (
+    SELECT table_id, k, taken, r, o, col, least(h, last - r + 1)::INT AS h,
+      coalesce(list_filter(range(1, w), lambda x: list_contains(taken, (r * 1000 + col + x)::INT))[1], w)::INT AS w
+    FROM (
+      SELECT g.table_id, n.k, taken, n.r, n.o, n.h, n.w, last, list_filter(range(100), lambda x: NOT list_contains(taken, (n.r * 1000 + x)::INT))[1] AS col
+      FROM g JOIN n ON n.table_id = g.table_id AND n.k = g.k + 1
+    )
+  )
+)
+SELECT table_id, r::INT AS "row", o AS ord, col::INT AS col, w AS col_span, h AS row_span FROM g WHERE k > 0
+""",
     "canonical_offsets": f"""
 SELECT doc_id, ord, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
   (coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(t))::BIGINT AS "end"
