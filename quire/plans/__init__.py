@@ -1,6 +1,6 @@
 """Registered queries by subject; QUERIES and ORACLES hold all of them."""
 
-from quire.plans import books, relational, styles
+from quire.plans import books, cases, relational, styles
 
-QUERIES = {**relational.QUERIES, **books.QUERIES, **styles.QUERIES}
-ORACLES = {**relational.ORACLES, **books.ORACLES, **styles.ORACLES}
+QUERIES = {**relational.QUERIES, **books.QUERIES, **cases.QUERIES, **styles.QUERIES}
+ORACLES = {**relational.ORACLES, **books.ORACLES, **cases.ORACLES, **styles.ORACLES}
