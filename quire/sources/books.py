@@ -198,11 +198,11 @@ def clear_fonts(books: DataFrame) -> DataFrame:
     return books.select("book_id", "content").mapInArrow(_rows(one, schema), schema)
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, tag, text): leaf blocks of pages(page_id, html)."""
+def page_blocks(pages: DataFrame, lenient: bool = True) -> DataFrame:
+    """(page_id, ord, tag, text): leaf blocks of pages(page_id, html); unless lenient, references without a semicolon stay as they are."""
 
     def one(page_id: int, html: str | None) -> Iterator[dict]:
-        for k, (tag, text) in enumerate(blocks(parse_html(html or ""))):
+        for k, (tag, text) in enumerate(blocks(parse_html(html or "", lenient))):
             yield {"page_id": page_id, "ord": k, "tag": tag, "text": text}
 
     schema = "page_id bigint, ord int, tag string, text string"

@@ -173,6 +173,12 @@ def test_html():
     assert navigation(f'<nav epub:type="toc">{deep}</nav>')[1]
 
 
+def test_references_without_semicolon():
+    html = "<h1>a &amp; b &lt;&#x27;&notit; &eacute;&amp</h1><p>&#x2</p>"
+    assert blocks(parse_html(html)) == [("h1", "a & b <'\u00acit; \u00e9&")]
+    assert blocks(parse_html(html, lenient=False)) == [("h1", "a & b <'&notit; \u00e9&amp"), ("p", "&#x2")]
+
+
 def test_crc_is_zlib():
     assert zlib.crc32(b"123456789") == 3421780262
 
