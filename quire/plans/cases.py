@@ -18,13 +18,18 @@ IMAGE = b"\x89PNG\r\n"
 
 
 def _made(rows: DataFrame, build: Callable[[int, str], bytes]) -> DataFrame:
-    """(book_id, content): a book for each row of rows(key, name)."""
+    """(book_id, content): a book for each row of rows(key, name).
+
+    The rows are dealt out first: they are small and may come as one split,
+    while each makes a book that has to be read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"book_id": pdf["key"].astype(str), "content": [build(int(k), n) for k, n in zip(pdf["key"], pdf["name"], strict=True)]})
 
-    return rows.mapInPandas(run, "book_id string, content binary")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").mapInPandas(run, "book_id string, content binary")
 
 
 def _titles(k: int) -> str:

@@ -27,6 +27,9 @@ INFO = "version string, title string, subtitle string, authors array<string>, co
 FATAL = "kind string, message string, scheme string, href string"
 BOOK = f"book_id string, opf_path string, delta bigint, zip64 boolean, fatal struct<{FATAL.replace(' ', ':').replace(',:', ',')}>, info struct<{INFO.replace(', ', ',').replace(' ', ':')}>, entries array<struct<{ENTRY.replace(', ', ',').replace(' ', ':')}>>, manifest array<struct<{ITEM.replace(', ', ',').replace(' ', ':')}>>, spine array<struct<{SPINE.replace(', ', ',').replace(' ', ':')}>>, nav array<struct<{POINT.replace(', ', ',').replace(' ', ':')}>>, diagnostics array<struct<{DIAGNOSTIC.replace('string,string', 'string;string').replace(', ', ',').replace(' ', ':').replace(';', ',')}>>"
 
+#: Rows, and bytes about, that leave a parser together; an item of a list counts for so many bytes.
+BATCH_ROWS, BATCH_BYTES, NESTED_BYTES = 200, 1 << 20, 200
+
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(book_id, content) of the files under a path."""
@@ -37,11 +40,17 @@ def _rows(run, schema: str):
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = list(run(*(c[k].as_py() for c in batch.columns)))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                for row in run(*(c[k].as_py() for c in batch.columns)):
+                    held.append(row)
+                    size += sum(len(v) if isinstance(v, (str, bytes)) else NESTED_BYTES * len(v) for v in row.values() if hasattr(v, "__len__"))
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     return batches_of
 

@@ -3,8 +3,10 @@ import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 
+from quire.plans import cases
 from quire.sources import books as B
 from quire.sources import xmldoc as X
 from quire.sources.epub import BookWriter, section, zip_bytes
@@ -179,6 +181,17 @@ def test_references_without_semicolon():
     assert blocks(parse_html(html, lenient=False)) == [("h1", "a & b <'&notit; \u00e9&amp"), ("p", "&#x2")]
 
 
+def test_many_books_are_dealt_out_and_leave_in_batches(spark):
+    rows = spark.range(400).selectExpr("id as key", "'n' as name").coalesce(1)
+    assert cases._made(rows, cases.described_book).rdd.getNumPartitions() == 4
+    run = B._rows(lambda k: [{"k": k, "b": b"x" * (k % 7)}], "k bigint, b binary")
+    given = [pa.RecordBatch.from_pydict({"k": list(range(i, i + 150))}) for i in (0, 150, 300)]
+    out = list(run(iter(given)))
+    assert [b.num_rows for b in out] == [200, 200, 50] and [k for b in out for k in b["k"].to_pylist()] == list(range(450))
+    large = B._rows(lambda k: [{"k": k, "b": b"x" * B.BATCH_BYTES}], "k bigint, b binary")
+    assert [b.num_rows for b in large(iter(given[:1]))] == [1] * 150
+
+
 def test_crc_is_zlib():
     assert zlib.crc32(b"123456789") == 3421780262
 
