@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, local_components
+
+#: Links that one task puts together in memory, 16 MB; more are contracted step by step.
+FEW_LINKS = 1 << 20
 
 
 def _stars(edges: DataFrame, scratch: Scratch, tag: str, *, large: bool) -> DataFrame:
@@ -44,3 +51,19 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         spread = scratch.save(_stars(flipped, scratch, f"cc-{step}l", large=True), f"cc-{step}a")
         edges = scratch.save(_stars(spread, scratch, f"cc-{step}s", large=False), f"cc-{step}")
         scratch.drop(f"cc-{step - 1}", f"cc-{step}a", f"cc-{step}l-low", f"cc-{step}s-low")
+
+
+def components_of_table(links: DataFrame, scratch: Scratch, few: int = FEW_LINKS) -> DataFrame:
+    """The same for links that are a saved table: a few links need one task and no steps."""
+    if links.count() > few:
+        return connected_components(links, scratch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        u, v = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in held)]).astype(np.int64) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        found = nodes[local_components(at[: len(u)], at[len(u) :], len(nodes))]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found)], ["node", "component"])
+
+    given = links.where("u is not null and v is not null and u <> v").select("u", "v")
+    return scratch.save(given.coalesce(1).mapInArrow(run, "node bigint, component bigint"), "found")

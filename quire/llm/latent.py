@@ -161,7 +161,9 @@ class Space:
         # Words that the space hardly knows add next to nothing to a cosine.
         known = np.linalg.norm(basis, axis=1) >= WEAK
         self.row[self.row >= 0] = np.where(known, np.cumsum(known) - 1, -1)
-        self.vectors = basis[known] * self.weight[self.row >= 0, None].astype(np.float32)
+        self.vectors = basis[known]
+        del basis  # the driver holds one copy at a time
+        self.vectors *= self.weight[self.row >= 0, None].astype(np.float32)
         self.bound = np.linalg.norm(self.vectors, axis=1).astype(np.float64)
         self.items = np.zeros((len(items.words), self.vectors.shape[1]), np.float32)
         for k, words in enumerate(items.words):
