@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ BLOCK = 16
 PASSAGE = 32
 #: Words in more than this share of passages weigh nothing.
 COMMON = 0.005
-#: Distinct texts, at most, whose passages the latent space is fitted on, beside all benchmark items.
-SAMPLE_DOCS = 1_000
+#: Passages, at least, that each item weighs as much as in the latent space; all items weigh as much as all passages.
+ITEM_WEIGHT = 100
+#: Columns of the space that tasks send on together to be added up.
+PIECE = 32
 #: Benchmark items of one latent space; more items are searched in several passes.
 SPACE_ITEMS = 256
 EXTRA_RANK = 32
@@ -142,7 +145,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Space:
     """A latent space: a vector for each bucket that matters, and the items in it."""
 
-    def __init__(self, items: Items, df: np.ndarray, passages: int, sample: DataFrame, seed: int = 11):
+    def __init__(self, items: Items, df: np.ndarray, passages: int, docs: DataFrame, seed: int = 11):
         weight = np.log((passages + 1) / (df + 1.0))
         common = df > COMMON * max(passages, 50)
         weight[common] = 0
@@ -151,19 +154,17 @@ class Space:
                 b = _bucket(words)
                 weight[b] = np.maximum(weight[b], np.log((passages + 1) / (df[b] + 1.0)) + 0.1)
         self.weight = np.maximum(weight, 0)
-        # Words that neither an item nor several sampled passages have tell the space nothing.
-        active = document_frequencies(sample)[0] >= 3
+        # Only an item's words can be met in a hit: others have no vector, and make windows longer.
+        active = np.zeros(BUCKETS, bool)
         for words in items.words:
             active[_bucket(words)] = True
         self.row = np.full(BUCKETS, -1, np.int32)
         self.row[active & (self.weight > 0)] = np.arange((active & (self.weight > 0)).sum())
-        basis = self._svd(items, sample, len(items.words) + EXTRA_RANK, seed)
+        basis = self._svd(items, docs, passages, len(items.words) + EXTRA_RANK, seed)
         # Words that the space hardly knows add next to nothing to a cosine.
         known = np.linalg.norm(basis, axis=1) >= WEAK
         self.row[self.row >= 0] = np.where(known, np.cumsum(known) - 1, -1)
-        self.vectors = basis[known]
-        del basis  # the driver holds one copy at a time
-        self.vectors *= self.weight[self.row >= 0, None].astype(np.float32)
+        self.vectors = (basis[known] * self.weight[self.row >= 0, None]).astype(np.float32)
         self.bound = np.linalg.norm(self.vectors, axis=1).astype(np.float64)
         self.items = np.zeros((len(items.words), self.vectors.shape[1]), np.float32)
         for k, words in enumerate(items.words):
@@ -171,13 +172,14 @@ class Space:
             v = self.vectors[r[r >= 0]].sum(axis=0)
             self.items[k] = v / max(float(np.linalg.norm(v)), 1e-12)
 
-    def _svd(self, items: Items, sample: DataFrame, rank: int, seed: int) -> np.ndarray:
-        """Right singular vectors of the items' and the sample's passages by a randomised range finder.
+    def _svd(self, items: Items, docs: DataFrame, passages: int, rank: int, seed: int) -> np.ndarray:
+        """Right singular vectors of the items' and all texts' passages by a randomised range finder.
 
-        Two passes over the sample's partitions: A*Omega gives the small Gram
-        matrix that makes the range orthonormal, then Q^T*A is added up. An item
-        weighs as much as a hundred passages, so that the space holds what tells
-        items apart. Omega's random signs are made anew in each task.
+        One pass over the texts adds up A^T*(A*Omega), whose columns span the
+        space; made orthonormal they are the singular vectors but for a
+        rotation, which no cosine depends on. Items weigh as much as all
+        passages, so that the space holds what tells items apart. Omega's
+        random signs are made anew in each task; the driver gets the sum alone.
         """
         weight, row, columns = self.weight, self.row, int((self.row >= 0).sum())
 
@@ -186,7 +188,7 @@ class Space:
             bucket = _bucket(h)
             value = weight[bucket]
             norm = np.sqrt(np.bincount(block, value**2, minlength=n))
-            keep = row[bucket] >= 0
+            keep = np.flatnonzero(row[bucket] >= 0)
             return block[keep], row[bucket[keep]], value[keep] / np.maximum(norm[block[keep]], 1e-12)
 
         def signs() -> np.ndarray:
@@ -201,7 +203,7 @@ class Space:
             return y
 
         def back(block: np.ndarray, column: np.ndarray, value: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Non-empty columns of Q^T A."""
+            """Non-empty columns of A, and A^T*q for them."""
             order = np.argsort(column, kind="stable")
             at = np.flatnonzero(np.append(True, np.diff(column[order]) != 0)[: len(order)])
             out = np.zeros((len(at), q.shape[1]), np.float32)
@@ -210,45 +212,39 @@ class Space:
                 out[s : s + 2048] = np.add.reduceat(q[block[rows]] * value[rows, None].astype(np.float32), at[s : s + 2048] - at[s])
             return column[order][at], out
 
-        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            omega, total = signs(), np.zeros((columns, rank))
             for _, texts in _grouped(batches):
                 h, doc = word_hashes(texts)
                 place, first = _places(doc, PASSAGE)
-                yield *rows_of(h, place, len(first)), len(first)
-
-        def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, omega = np.zeros((rank, rank)), signs()
-            for b in blocks(batches):
-                y = project(omega, *b)
-                g += y.T @ y
-            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
+                entries = rows_of(h, place, len(first))
+                at, add = back(*entries, project(omega, *entries, len(first)))
+                total[at] += add
+            for piece, s in enumerate(range(0, columns, PIECE)):
+                if total[s : s + PIECE].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([total[s : s + PIECE].astype(np.float32).tobytes()], pa.binary())], ["piece", "b"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for piece, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    total[piece] = total.get(piece, 0) + np.frombuffer(part, np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "b"])
 
         own = [rows_of(w, np.zeros(len(w), np.int64), 1) for w in items.words]
         block = np.concatenate([np.full(len(r[1]), k) for k, r in enumerate(own)])
-        column, value = np.concatenate([r[1] for r in own]), 10 * np.concatenate([r[2] for r in own])
-        y_items = project(signs(), block, column, value, len(items.words))
-        total = y_items.T @ y_items.astype(np.float64)
-        for r in sample.mapInArrow(gram, "g binary").toPandas()["g"]:
-            total += np.frombuffer(r).reshape(rank, rank)
-        lam, u = np.linalg.eigh(total)
-        good = lam > lam.max(initial=0) * 1e-9
-        turn = (u[:, good] / np.sqrt(lam[good])).astype(np.float32)
-
-        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            omega = signs()
-            for b in blocks(batches):
-                at, add = back(*b[:3], project(omega, *b) @ turn)
-                yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int64).tobytes()], pa.binary()), pa.array([add.tobytes()], pa.binary())], ["at", "b"])
-
-        b = np.zeros((columns, turn.shape[1]), np.float32)
-        at, add = back(block, column, value, y_items @ turn)
+        times = math.sqrt(max(ITEM_WEIGHT, passages / len(items.words)))
+        entries = block, np.concatenate([r[1] for r in own]), times * np.concatenate([r[2] for r in own])
+        b = np.zeros((columns, rank))
+        at, add = back(*entries, project(signs(), *entries, len(items.words)))
         b[at] += add
-        # One partition's part at a time comes to the driver; the sample, and so their number, is bounded.
-        for r in sample.mapInArrow(parts, "at binary, b binary").toLocalIterator():
-            b[np.frombuffer(r["at"], np.int64)] += np.frombuffer(r["b"], np.float32).reshape(-1, turn.shape[1])
-        lam, u = np.linalg.eigh((b.T @ b).astype(np.float64))
+        sent = docs.select(F.lit(None).cast("bigint").alias("none"), "text").mapInArrow(parts, "piece bigint, b binary")
+        summed = sent.repartition(shuffle_parts(docs.sparkSession), "piece").mapInArrow(added, "piece bigint, b binary").toArrow()
+        for piece, part in zip(summed["piece"].to_pylist(), summed["b"].to_pylist(), strict=True):
+            b[piece * PIECE : (piece + 1) * PIECE] += np.frombuffer(part).reshape(-1, rank)
+        lam, u = np.linalg.eigh(b.T @ b)
         good = lam > lam.max(initial=0) * 1e-9
-        return b @ (u[:, good] / np.sqrt(lam[good])).astype(np.float32)
+        return b @ (u[:, good] / np.sqrt(lam[good]))
 
 
 def _classes(items: Items) -> list[tuple[int, np.ndarray]]:
@@ -380,7 +376,7 @@ def smallest_hashed(docs: DataFrame, n: int) -> DataFrame:
     return kept.groupBy("hash").agg(F.first("text").alias("text")).select(F.lit(None).cast("bigint").alias("id"), "text")
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, cosine: float = COSINE, similarity: float = SIMILARITY, space_items: int = SPACE_ITEMS, sample_docs: int = SAMPLE_DOCS, spaces_at_once: int = SPACES_AT_ONCE, carry: list[str] | None = None) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, cosine: float = COSINE, similarity: float = SIMILARITY, space_items: int = SPACE_ITEMS, spaces_at_once: int = SPACES_AT_ONCE, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, hits), or the columns in carry and hits, for every row of docs(doc_id, text).
 
     hits is an array of (item_id, similarity, start_word, end_word), one for
@@ -390,13 +386,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, cosi
     answer's words (the last sentence's, if there is no answer column; five or
     more) stand together in the window.
 
-    Word weights count all passages of docs. A latent space is fitted for
-    each block of items on a bounded sample of docs and all of the block's
-    items; every window of every text is then compared with every item of the
-    block by cosine. Windows that hold enough of an item's rarest words are
-    compared too, so that no window which is a hit is left to the cosine. The
-    space is broadcast; its size is that of the hashed vocabulary times the
-    block's items and so is bounded; so is their number, as a larger benchmark
+    Word weights count all passages of docs. A latent space of the items' words
+    is fitted for each block of items on all passages of docs and all of the
+    block's items; every window of every text is then compared with every item
+    of the block by cosine. Windows that hold enough of an item's rarest words
+    are compared too, so that no window which is a hit is left to the cosine.
+    The space is broadcast; its size is that of the block's words times its
+    items and so is bounded; so is their number, as a larger benchmark
     is searched for in several passes, whose hits are joined by the texts' SHA-256.
 
     Null texts and texts or items without words have no hits. A null item_id
@@ -410,7 +406,6 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, cosi
     tests = benchmark.select(F.col("item_id").cast("bigint"), "text", answer.alias("answer"))
     blocks = -(-tests.count() // space_items)
     df, passages = document_frequencies(docs)
-    sample = scratch.save(smallest_hashed(docs, sample_docs).repartition(min(8, shuffle_parts(spark))), "sample") if blocks else docs
 
     def space(b: int) -> list[tuple]:
         """The items of a block and what finds them, if there are any."""
@@ -418,7 +413,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, cosi
         texts = part["text"].tolist()
         answers = [a if a is not None else last_sentence(t) for a, t in zip(part["answer"], texts, strict=True)]
         items = Items([None if pd.isna(i) else int(i) for i in part["item_id"]], texts, answers)
-        return [spark.sparkContext.broadcast((items, Space(items, df, passages, sample), Probes(items, df, similarity)))] if items.words else []
+        return [spark.sparkContext.broadcast((items, Space(items, df, passages, docs), Probes(items, df, similarity)))] if items.words else []
 
     def hits_of(texts: list[str | None], searched: list) -> list[list[dict]]:
         h, doc = word_hashes(texts)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from quire.llm.common import Scratch
-from quire.llm.latent import benchmark_hits, common_subsequence, smallest_hashed, word_hashes
+from quire.llm.latent import BUCKETS, EXTRA_RANK, Items, Space, benchmark_hits, common_subsequence, document_frequencies, smallest_hashed, word_hashes
 
 
 def brute_lcs(a, b):
@@ -117,3 +117,32 @@ def test_sample_is_bounded(spark):
         got = [r.text for r in smallest_hashed(df, n).collect()]
         assert len(got) == len(set(got)) == min(n, 301)
     assert smallest_hashed(df.limit(0), 5).count() == 0
+
+
+def test_space_is_fitted_on_all_passages(spark):
+    """The space is that of every passage of every text and the items, by a plain product of matrices."""
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(20, 90))) for _ in range(1800)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    items = Items([1, 2, 3, 4], [" ".join(rng.choice(vocab) for _ in range(30)) for _ in range(4)], [None] * 4)
+    df, passages = document_frequencies(docs)
+    space = Space(items, df, passages, docs)
+    passage = [w[s : s + 32] for w in (word_hashes([t])[0] for t in texts) for s in range(0, len(w), 32)]
+    assert len(passage) == passages
+    columns = np.unique(np.concatenate(items.words) & np.uint64(BUCKETS - 1)).astype(int)
+    columns = columns[space.weight[columns] > 0]
+
+    def row(words, times=1.0):
+        n = np.bincount((words & np.uint64(BUCKETS - 1)).astype(int), minlength=BUCKETS) * space.weight
+        length = np.sqrt((space.weight[(words & np.uint64(BUCKETS - 1)).astype(int)] ** 2).sum())
+        return times * n[columns] / max(length, 1e-12)
+
+    a = np.array([row(w) for w in passage] + [row(w, np.sqrt(max(100, passages / 4))) for w in items.words])
+    rank = 4 + EXTRA_RANK
+    omega = np.random.default_rng(11).integers(0, 2, (len(columns), rank), np.int8) * 2.0 - 1
+    q = np.linalg.svd(a.T @ (a @ omega), full_matrices=False)[0]
+    known = space.row[columns] >= 0
+    assert known.sum() == len(space.vectors) > 20
+    got = space.vectors / space.weight[columns[known], None]
+    assert np.allclose(got @ got.T, (q @ q.T)[np.ix_(known, known)], atol=1e-3)
