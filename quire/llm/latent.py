@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -396,23 +395,23 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, cosi
     is searched for in several passes, whose hits are joined by the texts' SHA-256.
 
     Null texts and texts or items without words have no hits. A null item_id
-    is kept as a null in hits; repeated items count one by one; of equally
-    similar windows the first is given. Rows are independent, so repeats and
+    is kept as a null in hits; repeated items are searched for once and count
+    one by one; of equally similar windows the first is given. Rows are independent, so repeats and
     null ids stay as they come. Extra columns are not looked at.
     """
     spark = docs.sparkSession
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())]))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    tests = benchmark.select(F.col("item_id").cast("bigint"), "text", answer.alias("answer"))
+    tests = scratch.save(benchmark.select(F.col("item_id").cast("bigint"), "text", answer.alias("answer")).groupBy("text", "answer").agg(F.collect_list(F.struct("item_id")).alias("ids")), "items")
     blocks = -(-tests.count() // space_items)
     df, passages = document_frequencies(docs)
 
     def space(b: int) -> list[tuple]:
         """The items of a block and what finds them, if there are any."""
-        part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas()
-        texts = part["text"].tolist()
-        answers = [a if a is not None else last_sentence(t) for a, t in zip(part["answer"], texts, strict=True)]
-        items = Items([None if pd.isna(i) else int(i) for i in part["item_id"]], texts, answers)
+        part = tests.where(F.pmod(F.xxhash64("text", "answer"), F.lit(blocks)) == b).collect()
+        texts = [r["text"] for r in part]
+        answers = [r["answer"] if r["answer"] is not None else last_sentence(r["text"]) for r in part]
+        items = Items([[i["item_id"] for i in r["ids"]] for r in part], texts, answers)
         return [spark.sparkContext.broadcast((items, Space(items, df, passages, docs), Probes(items, df, similarity)))] if items.words else []
 
     def hits_of(texts: list[str | None], searched: list) -> list[list[dict]]:
@@ -435,7 +434,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, cosi
                 if ok and alike > best.get((doc[s], k), (0.0,))[0]:
                     best[doc[s], k] = alike, s - int(begin[doc[s]]), e - int(begin[doc[s]])
             for (d, k), (alike, s, e) in best.items():
-                hits[d].append({"item_id": items.ids[k], "similarity": alike, "start_word": s, "end_word": e})
+                hits[d] += [{"item_id": i, "similarity": alike, "start_word": s, "end_word": e} for i in items.ids[k]]
         for row in hits:
             row.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start_word"]))
         return hits

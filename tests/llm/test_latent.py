@@ -146,3 +146,19 @@ def test_space_is_fitted_on_all_passages(spark):
     assert known.sum() == len(space.vectors) > 20
     got = space.vectors / space.weight[columns[known], None]
     assert np.allclose(got @ got.T, (q @ q.T)[np.ix_(known, known)], atol=1e-3)
+
+
+def test_repeated_items_are_searched_once(spark, monkeypatch):
+    """A benchmark whose rows are repeated under other ids needs no more passes over the texts than its distinct items."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    items = [" ".join(rng.choice(vocab) for _ in range(25)) for _ in range(3)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocab) for _ in range(40)) + " " + items[i]) for i in range(3)], "doc_id long, text string")
+    bench = spark.createDataFrame([(100 * r + k, t) for r in range(20) for k, t in enumerate(items)] + [(None, items[0])], "item_id long, text string")
+    fitted, fit = [], Space._svd
+    monkeypatch.setattr(Space, "_svd", lambda self, *a: fitted.append(1) or fit(self, *a))
+    rows = benchmark_hits(docs, bench, Scratch(spark, "t"), space_items=4).collect()
+    for r in rows:
+        want = [100 * n + r.doc_id for n in range(20)] + ([None] if r.doc_id == 0 else [])
+        assert [h.item_id for h in r.hits] == want and {h.similarity for h in r.hits} == {1.0}
+    assert len(rows) == 3 and len(fitted) == 1
